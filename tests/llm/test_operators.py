@@ -166,18 +166,25 @@ def test_lm_probabilities_sum_to_one():
     assert sum(0.5 ** int(x) for x in code.length) == pytest.approx(1.0)
     rng = np.random.default_rng(0)
     table = rng.normal(size=lm_score.SLOTS).astype(np.float32)
-    model = lm_score.Model(code, table, np.full((24, 4), 0.5), 12, 4)
-    bits, slots, gate, unit, ids, _ = lm_score.coded(code, [[b"a"], [b"b"], [b"c"], [b""]])
-    known, _ = lm_score.mixed(table, model.start, bits, slots, gate, unit, 4)
-    at = (code.offset[code.escape], code.length[code.escape])
-    escape = model.score(["zz"])[0][3]
-    assert 0 < sum(10**known) < 1 and escape < 0 and at[1] > 0
+    start = np.full((4, 24), 0.5)
+    streams = lm_score.coded(code, [[b"a"], [b"b"], [b"c"], [b""]])[2]
+    known, _ = lm_score.read_units(table, start, streams, 4)
+    escape = slice(code.offset[code.escape], code.offset[code.escape] + code.length[code.escape])
+    slots = [lm_score._slot(code.marks[escape]), *(lm_score._slot(code.marks[escape] + m) for m in (lm_score._mark(np.zeros(1, np.int64), 1), lm_score._mark(np.zeros(1, np.int64), 1) + lm_score._mark(np.zeros(1, np.int64), 2)))]
+    escaped = lm_score.read(table, start.astype(np.float32), code.bits[escape], slots, code.depth[escape])
+    assert sum(10**known) + 10**escaped == pytest.approx(1.0, abs=1e-4)
+    # the spelling: after any byte the eight bits share out the mass over all bytes
+    spelled = 0.0
+    for byte in range(256):
+        ids, first, (path, letters) = lm_score.coded(code, [[bytes([byte]) + b"q"]])
+        spelled += 10 ** lm_score.read(table, start.astype(np.float32), letters.bits[:8], [x[:8] for x in letters.slots], None)
+    assert spelled == pytest.approx(1.0, abs=1e-4)
 
 
 def test_lm_batches_do_not_matter():
     texts = ["alpha beta gamma " * 50, "beta", None, "delta alpha unknownword " * 9]
     head = [(b"", 4), (b"alpha", 3), (b"beta", 2)]
-    model = lm_score.Model(lm_score.huffman(head, 2), np.random.default_rng(1).normal(size=lm_score.SLOTS).astype(np.float32), np.full((24, 4), 0.4), 11, 5)
+    model = lm_score.Model(lm_score.huffman(head, 2), np.random.default_rng(1).normal(size=lm_score.SLOTS).astype(np.float32), np.full((4, 24), 0.4), 11, 5)
     together = [r[3] for r in model.score(texts)]
     assert together == pytest.approx([model.score([t])[0][3] for t in texts], rel=1e-5)
 
