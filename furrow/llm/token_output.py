@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 END = 0
-REMEMBERED = 400_000
-PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+REMEMBERED = 900_000
+#: White space with the run of other characters behind it; letters end before a comma or full stop, where the word pattern always ends a token.
+PIECES = re.compile(r"[ \n\t\r]*+(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[.,])|[^ \n\t\r]+)|[ \n\t\r]+")
+SPACED = re.compile(r"[\n\t\r]|(?<=.) | $")
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WRITE = {
     "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
@@ -52,20 +54,37 @@ class Encoder:
         self.library, self.remembered = Tokenizer.from_file(file), remembered
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([RARE_SPACE.pattern, *specials]))
-        self.known: dict[str, bytes] = {}
+        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}  # piece -> ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words without inner white space, many in a call: a line break before a word, alone or before its one blank, is a token of its own."""
+        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.newline[0])
+        if len(self.newline) != 1 or len(ends) != len(words) - 1:
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)])]
+
+    def _learn(self, pieces: list[str]) -> None:
+        spaced = [SPACED.search(p) is not None for p in pieces]
+        if plain := [p for p, x in zip(pieces, spaced) if not x]:
+            self.known.update(zip(plain, self._encode_words(plain)))
+        if other := [p for p, x in zip(pieces, spaced) if x]:
+            self.known.update(zip(other, self._encode(other)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known.clear()
-        known, pieces = self.known, [None if self.whole.search(t) else PIECES.findall(t) for t in texts]
-        missing = list({p for found in pieces if found for p in found if p not in known})
+        pieces = [None if self.whole.search(t) else PIECES.findall(t) for t in texts]
+        missing = list(set().union(*filter(None, pieces)).difference(self.known))
         for at in range(0, len(missing), 4096):
-            known.update(zip(missing[at : at + 4096], self._encode(missing[at : at + 4096])))
-        odd = iter(self._encode([t for t, found in zip(texts, pieces) if found is None]))
-        return [next(odd) if found is None else b"".join(map(known.__getitem__, found)) for found in pieces]
+            self._learn(missing[at : at + 4096])
+        ids, odd = self.known.__getitem__, iter(self._encode([t for t, found in zip(texts, pieces) if found is None]))
+        return [next(odd) if found is None else b"".join(map(ids, found)) for found in pieces]
 
 
 @lru_cache(maxsize=2)
