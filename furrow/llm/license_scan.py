@@ -12,10 +12,12 @@ confidence among the detections that stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +119,14 @@ def detect(padded: bytes) -> list[Found]:
         return []
     hits = [Found(m.start(), m.end(), r) for r in rules() if r.keyword in padded for m in r.pattern.finditer(padded)]
     kept: list[Found] = []
+    starts, ends = [], []  # of kept intervals that lie in no other; both ascend
     for h in sorted(hits, key=lambda h: (-h.rule.priority, h.start - h.end, h.start, h.rule.label)):
-        if not any(k.start <= h.start and h.end <= k.end for k in kept):
-            kept.append(h)
+        at = bisect_right(starts, h.start)
+        if at and ends[at - 1] >= h.end:
+            continue
+        kept.append(h)
+        inner, behind = bisect_left(starts, h.start), bisect_right(ends, h.end)
+        starts[inner:behind], ends[inner:behind] = [h.start], [h.end]
     return kept
 
 
@@ -131,13 +138,18 @@ def scan(text: str | None) -> tuple:
     for phrase, label in BASE:
         want, at = f" {phrase} ".encode(), -1
         while (at := padded.find(want, at + 1)) >= 0:
-            places.append(padded.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
     kept = detect(padded)
+    if not places and not kept:
+        return len(tokens), 0, None, None, "", "", 0.0, []
+    blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+    word = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  blanks before a place
     labels = base | {k.rule.label for k in kept}
     score = max([BASE_SCORE * bool(base), *(k.rule.score for k in kept)])
-    spans = [f"{k.rule.label}:{padded.count(b' ', 0, k.start) - 1}:{padded.count(b' ', 0, k.end) - 1}" for k in sorted(kept)]
-    return len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score), spans
+    spans = [f"{k.rule.label}:{word(k.start) - 1}:{word(k.end) - 1}" for k in sorted(kept, key=lambda k: (k.start, k.end, k.rule.label))]
+    first, last = (word(min(places)), word(max(places))) if places else (None, None)
+    return len(tokens), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), float(score), spans
 
 
 SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<string>"
