@@ -5,6 +5,9 @@ per slot (partial counts before the shuffle) and keeps, as 4 KB bitmaps, the slo
 rows hit. Pass two scans again: a row whose two slots are both set is possibly repeated; only its id
 and digest shuffle. All other rows are certainly alone and pass straight through.
 
+Group sizes are counted with partial counts; rows of hot groups then meet their group in a broadcast of
+fewer than ``HOT_SHARE`` rows, and only the others are dealt by their digest.
+
 Defined results: null counts as the empty text; the largest id of a group stays, a null id only if
 there is no other; of rows that also repeat the id exactly one stays.
 """
@@ -21,6 +24,8 @@ BUCKET = 32768
 #: Largest bit field that is broadcast: 2^30 bits are 128 MB. Beyond its capacity more rows shuffle, none is lost.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 30
 BITS_PER_ROW = 16
+#: A group of more than one in so many rows is hot; there are fewer such groups than this, so they are broadcast.
+HOT_SHARE = 4096
 
 
 def field_bits(rows: int) -> int:
@@ -49,10 +54,11 @@ def _has(bitmap: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, hot_share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     texts = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("t"))
-    bits = bits or field_bits(docs.count())
+    total = docs.count()
+    bits = bits or field_bits(total)
     field = cut(repeated_slots(texts, "t", bits))
     one, two = _slots(F.col("t"), bits)
     rows = texts.select("id", F.sha2("t", 256).alias("sha"), one.alias("s1"), two.alias("s2"), F.monotonically_increasing_id().alias("row"))
@@ -64,8 +70,11 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = marked.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = marked.where("maybe").select("id", "sha", "row")
     order = F.struct(F.col("id").isNotNull().alias("given"), F.col("id"), F.col("row"))
-    groups = maybe.groupBy("sha").agg(F.max(order).alias("k"), F.count("*").alias("group_size"))
-    met = maybe.join(groups, "sha").select("id", F.col("k.id").alias("keep_id"), "group_size", (F.col("row") == F.col("k.row")).alias("kept"), "sha")
+    groups = cut(maybe.groupBy("sha").agg(F.max(order).alias("k"), F.count("*").alias("group_size")))
+    is_hot = F.col("group_size") * hot_share > total
+    hot, cool = F.broadcast(groups.where(is_hot)), groups.where(~is_hot)
+    both = maybe.join(hot, "sha").unionByName(maybe.join(hot.select("sha"), "sha", "left_anti").join(cool, "sha"))
+    met = both.select("id", F.col("k.id").alias("keep_id"), "group_size", (F.col("row") == F.col("k.row")).alias("kept"), "sha")
     return alone.unionByName(met).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 

@@ -213,8 +213,8 @@ def test_mixing(spark, docs):
 
 
 def test_exact_dedup(spark, docs):
-    for bits in (None, 1 << 3, 1 << 16):
-        got = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs, bits=bits).collect()}
+    for bits, hot_share in ((None, 4096), (1 << 3, 8), (1 << 16, 1)):
+        got = {r.doc_id: r for r in exact_dedup.exact_duplicates(docs, bits=bits, hot_share=hot_share).collect()}
         groups = {}
         for i, t in enumerate(TEXTS):
             groups.setdefault((t or "").translate(LOW), []).append(i)
