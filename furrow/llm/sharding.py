@@ -4,7 +4,7 @@ Groups are documents of equal text. Sizes are summed per group with partial coun
 one part in ``PARTS`` of the whole is an item of its own (there are fewer than ``PARTS`` of those,
 whatever the input); smaller groups are dealt by hash into ``PARTS`` bundles, and a bundle is an item.
 So the packing sees at most twice ``PARTS`` items at any scale, small enough for the driver, while the
-documents are only joined to the outcome. Items in decreasing size enter the bin with the tightest
+documents are only joined to the outcome (those of hot groups by a bounded broadcast). Items in decreasing size enter the bin with the tightest
 remaining capacity, which a balanced search tree of (remaining, bin) finds; the capacity is the smallest
 for which the given number of bins is enough.
 
@@ -25,6 +25,8 @@ from .common import cut
 
 SHARDS = 8
 PARTS = 16384
+#: A group of more than one in so many rows is hot; there are fewer such groups than this, so they are broadcast.
+HOT_SHARE = 4096
 #: Rows of one numbering block.
 BLOCK_ROWS = 200_000
 
@@ -129,23 +131,25 @@ def pack(sizes: list[int], bins: int) -> list[int]:
     return best_fit(sizes, low + most, bins)
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS, hot_share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("row")))
-    groups = rows.groupBy("sha").agg(F.sum("size").alias("size"))
+    groups = rows.groupBy("sha").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     whole = rows.agg(F.sum("size"), F.count("*")).first()
     total, n = whole[0] or 0, whole[1]
     alone = F.col("size") * parts > total
     item = F.when(alone, F.hex("sha")).otherwise(F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("string"))
-    grouped = groups.select("sha", "size", item.alias("item"))
+    grouped = cut(groups.select("sha", "size", (F.col("n") * hot_share > n).alias("hot"), item.alias("item")))
     items = sorted(((-r.size, r.item) for r in grouped.groupBy("item").agg(F.sum("size").alias("size")).collect()))  # 2 x parts rows at most
     placed = pack([-s for s, _ in items], shards)
     spark = docs.sparkSession
     bins = spark.createDataFrame([(name, b) for (_, name), b in zip(items, placed)], "item string, shard int")
-    by_group = grouped.join(F.broadcast(bins), "item").select("sha", "shard")
+    by_group = grouped.join(F.broadcast(bins), "item").select("sha", "hot", "shard")
+    hot, cool = F.broadcast(by_group.where("hot").select("sha", "shard")), by_group.where("not hot").select("sha", "shard")
+    in_shard = rows.join(hot, "sha").unionByName(rows.join(hot.select("sha"), "sha", "left_anti").join(cool, "sha"))
     blocks = max(16, -(-n // (BLOCK_ROWS * shards)))
-    dealt = cut(rows.join(by_group, "sha").select("id", "size", "crc", "shard", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row"))
+    dealt = cut(in_shard.select("id", "size", "crc", "shard", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row"))
     # shards x blocks rows
     firsts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "row")) - 1

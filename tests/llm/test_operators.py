@@ -273,7 +273,7 @@ def test_sharding(spark, docs, sf):
     real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     for table, parts in ((docs, 4), (real, 16384), (real, 64)):
         texts = {r.doc_id: r.text for r in table.collect()}
-        got = sharding.shard(table, parts=parts).collect()
+        got = sharding.shard(table, parts=parts, hot_share=parts).collect()
         assert sorted(r.doc_id for r in got) == sorted(texts)
         by_text, slots, loads = {}, {}, Counter()
         for r in got:
