@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
+from furrow.operators import reference
 
 
 def by_scope(frame: DataFrame, metrics: Mapping[str, Column], *, year: str = "year") -> DataFrame:
@@ -117,3 +118,24 @@ def classification(frame: DataFrame, *, true: str, pred: str, classes: Sequence[
     macro = sum(f1.values(), start=d(0)) / len(classes)
     weighted = sum((f1[k] * F.col(f"t{k}") for k in classes), start=d(0)) / F.col("n")
     return m.select("n", "accuracy", macro.alias("macro_f1"), weighted.alias("weighted_f1"), (1 - c.ratio(F.col("d2"), expected)).alias("kappa"), "distance")
+
+
+def transfer(frame: DataFrame, train: DataFrame, *, source: str = "source", target: str = "target", region: str = "region", year: str = "year", y: str = "y", p: str = "y_pred") -> DataFrame:
+    """One row per source model and other target: errors, skills against the target's own references, spatial and anomaly agreement.
+
+    ``train`` has the target's training rows (target, region, year, y). Rows whose source is the target are left out.
+    """
+    place = F.struct(F.col(target).alias("t"), F.col(region).alias("r"))
+    fit = reference.coefficients(train.select(place.alias("place"), year, y), region="place", year=year, y=y)
+    fit = fit.select(F.col("place.t").alias(target), F.col("place.r").alias(region), "climatology", "rolling3", "slope", "intercept")
+    overall = train.groupBy(target).agg(F.avg(y).alias("overall"))
+    rows = frame.where(F.col(source) != F.col(target)).join(fit, [target, region], "left").join(overall, target, "left")
+    refs = {"climatology": F.coalesce("climatology", "overall"), "rolling3": F.coalesce("rolling3", "overall"), "trend": F.coalesce(F.col("intercept") + F.col("slope") * F.col(year), F.col("overall"))}
+    rows = rows.select(source, target, region, year, F.col(y).alias("y"), F.col(p).alias("p"), *[v.alias(f"ref_{k}") for k, v in refs.items()])
+    a, b = F.col("y"), F.col("p")
+    skills = {f"skill_{n}_{k}": c.skill(f(a, b), f(a, F.col(f"ref_{k}"))) for k in refs for n, f in (("rmse", c.rmse), ("mae", c.mae))}
+    true, pred = a - F.col("ref_trend"), b - F.col("ref_trend")
+    blocks = {**c.point_metrics(a, b), **skills, "r_an": c.pearson(true, pred, 3), "r2_an": c.r2(true, pred)}
+    main = rows.groupBy(source, target).agg(*[v.alias(k) for k, v in blocks.items()])
+    spatial_r = rows.groupBy(source, target, year).agg(c.pearson(a, b).alias("r")).groupBy(source, target).agg(F.percentile("r", 0.5).alias("spatial_r"))
+    return main.join(spatial_r, [source, target])

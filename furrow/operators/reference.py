@@ -92,3 +92,28 @@ def quantile_map(frame: DataFrame, fit: DataFrame, *, y: str = "y", p: str = "y_
     x0, x1, y0, y1 = F.element_at("qp", at), F.element_at("qp", at + 1), F.element_at("qy", at), F.element_at("qy", at + 1)
     share = F.least(F.greatest(F.when(x1 > x0, (F.col(p) - x0) / F.nullif(x1 - x0, d(0))).otherwise(d(0)), d(0)), d(1))
     return frame.join(F.broadcast(maps)).withColumn("mapped", y0 + share * (y1 - y0)).drop("qp", "qy")
+
+
+def gated_trend(samples: DataFrame, train: DataFrame, *, region: str = "region", year: str = "year", y: str = "y", z_limit: float = 1.959964) -> DataFrame:
+    """(region, year, trend) for every sample, from the region's training rows of other years.
+
+    The most significant window before the year and the one after it each give a line, and the lines are
+    blended by nearness. Without either the region's mean is taken (its own year left out where it has
+    others), for an unseen region the mean of all.
+    """
+    targets = samples.select(region, year).distinct()
+    t, x = F.col("t_"), F.col(year)
+    all_rows = targets.select(region, F.col(year).alias("t_")).join(train.select(region, year, y), region)
+    rows = all_rows.where(x != t).withColumn("after_", x > t)
+    # Later years are mirrored at the target: the nearest is the newest then, and a line has the same value at the target.
+    windows = rows.select(F.struct(F.col(region).alias("r"), "t_", "after_").alias("side_"), F.when(x > t, 2 * t - x).otherwise(x).alias("x_"), F.col(y).alias("v_"))
+    best = mann_kendall(windows, region="side_", year="x_", y="v_", z_limit=z_limit).select("side_.*", (F.col("intercept") + F.col("slope") * F.col("side_.t_")).alias("line"))
+    lines = best.groupBy("r", "t_").agg(F.max(F.when(~F.col("after_"), F.col("line"))).alias("low"), F.max(F.when(F.col("after_"), F.col("line"))).alias("high"))
+    others = all_rows.groupBy(region, "t_").agg(
+        F.coalesce(F.avg(F.when(x != t, F.col(y))), F.avg(y)).alias("mean"), (F.col("t_") - F.max(F.when(x < t, x))).alias("back"), (F.min(F.when(x > t, x)) - F.col("t_")).alias("ahead"),
+    )
+    out = targets.withColumnRenamed(year, "t_").join(others, [region, "t_"], "left").join(lines.withColumnRenamed("r", region), [region, "t_"], "left")
+    out = out.join(F.broadcast(train.agg(F.avg(y).alias("overall"))))
+    back, ahead = F.col("back"), F.col("ahead")
+    blend = (ahead * F.col("low") + back * F.col("high")) / (back + ahead)
+    return out.select(region, F.col("t_").alias(year), F.coalesce(blend, "low", "high", "mean", "overall").alias("trend"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
-from furrow.operators import comparison, contract, evaluation, features, reference, series, splits
+from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits
+from furrow.sources import tables
 from furrow.streaming import events
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +539,124 @@ SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*
 def event_sessions(spark, sf_dir):
     out = events.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("start", "end")})
+
+
+_WEATHER = "avg_temp max_temp min_temp temp_std gdd total_precip precip_std heat_days frost_days cold_stress_days dry_days wet_days".split()
+_SEASONS = DAILY + """, seasons AS (
+  SELECT region, CAST(year(day) AS INTEGER) AS year, avg(tavg) AS avg_temp, max(tmax) AS max_temp, min(tmin) AS min_temp, stddev_pop(tavg) AS temp_std, sum(greatest(least(tavg, 30) - 10, 0)) AS gdd,
+    sum(prec) AS total_precip, stddev_pop(prec) AS precip_std, count(*) FILTER (WHERE tmax > 35) AS heat_days, count(*) FILTER (WHERE tmin < 0) AS frost_days, count(*) FILTER (WHERE tmin < 5) AS cold_stress_days,
+    count(*) FILTER (WHERE prec < 1) AS dry_days, count(*) FILTER (WHERE prec > 10) AS wet_days, max(rad) AS peak, min(day) AS sos, max(day) AS eos
+  FROM daily GROUP BY 1, 2)"""
+
+
+def by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir).withColumn("year", F.year("day"))
+
+
+@query(f"WITH {PANEL}, {_SEASONS} SELECT p.region, p.year, {', '.join(R(f's{k}.{n}::DOUBLE', f'{n}_{k}') for k in (1, 2) for n in _WEATHER)} FROM panel p LEFT JOIN seasons s1 ON p.region = s1.region AND p.year = s1.year + 1 LEFT JOIN seasons s2 ON p.region = s2.region AND p.year = s2.year + 2")
+def multi_year_weather(spark, sf_dir):
+    seasons = multiyear.weather_summaries(by_season(spark, sf_dir), ["region", "year"], "maize")
+    return rounded(multiyear.lookback(panel(spark, sf_dir).select("region", "year"), seasons, _WEATHER).withColumns({f"{n}_{k}": F.col(f"{n}_{k}").cast("double") for k in (1, 2) for n in _WEATHER}))
+
+
+@query(f"""WITH {DAILY}, r AS (SELECT region, CAST(year(day) AS INTEGER) AS year, rad AS ndvi, prec AS fpar, CASE WHEN dayofyear(day) % 4 <> 0 THEN tavg END AS ssm, day FROM daily),
+b AS (SELECT *, count(ssm) OVER (PARTITION BY region, year ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS back FROM r)
+SELECT region, year, {', '.join(R(f'{f}({x})', f'{x}_{n}') for x in ('ndvi', 'fpar', 'ssm') for n, f in (('max', 'max'), ('mean', 'avg'), ('integral', 'sum')))}, {R('avg(ssm) FILTER (WHERE back <= 30)', 'ssm_final')} FROM b GROUP BY region, year""")
+def multi_year_remote(spark, sf_dir):
+    ssm = F.when(F.dayofyear("day") % 4 != 0, F.col("tavg"))
+    return rounded(multiyear.remote_summaries(by_season(spark, sf_dir).select("region", "year", "day", F.col("rad").alias("ndvi"), F.col("prec").alias("fpar"), ssm.alias("ssm")), ["region", "year"], "day"))
+
+
+_CHANGES = ", ".join(f"CAST(s{k}.{n} - s.{n} AS DOUBLE) AS {n}_change_{k}" for k in (1, 2) for n in ("sos", "eos", "length"))
+
+
+@query(f"WITH {_SEASONS}, ph AS (SELECT region, year, dayofyear(sos) AS sos, dayofyear(eos) AS eos, date_diff('day', sos, eos) AS length FROM seasons) SELECT s.region, s.year, {_CHANGES} FROM ph s LEFT JOIN ph s1 ON s.region = s1.region AND s.year = s1.year + 1 LEFT JOIN ph s2 ON s.region = s2.region AND s.year = s2.year + 2")
+def phenology_changes(spark, sf_dir):
+    return multiyear.phenology_changes(by_season(spark, sf_dir).groupBy("region", "year").agg(F.min("day").alias("sos"), F.max("day").alias("eos")))
+
+
+_TRENDED = ("total_precip", "avg_temp", "gdd", "peak")
+
+
+@query(f"WITH {PANEL}, {_SEASONS} SELECT p.region, p.year, {', '.join(R(f'CASE WHEN count(s.{n}) >= 2 THEN coalesce(regr_slope(s.{n}, s.year), 0) END', f'{n}_trend') for n in _TRENDED)} FROM panel p LEFT JOIN seasons s ON p.region = s.region AND s.year BETWEEN p.year - 3 AND p.year - 1 GROUP BY p.region, p.year")
+def multi_year_trends(spark, sf_dir):
+    rows = by_season(spark, sf_dir)
+    seasons = multiyear.weather_summaries(rows, ["region", "year"], "maize").join(rows.groupBy("region", "year").agg(F.max("rad").alias("peak")), ["region", "year"])
+    return rounded(multiyear.trends(panel(spark, sf_dir), seasons, _TRENDED))
+
+
+@query(f"""WITH {DAILY}, x AS (SELECT region, year(day) AS year, dayofyear(day) - 1 AS step, tavg FROM daily), f AS (SELECT region, year, k, sqrt(sum(tavg * cos(2 * pi() * k * step / 365.0::DOUBLE)) ** 2 + sum(tavg * sin(2 * pi() * k * step / 365.0::DOUBLE)) ** 2) AS a FROM x, range(1, 183) AS t(k) WHERE step < 365 GROUP BY ALL),
+m AS (SELECT k, round(avg(a), 6) AS a FROM f GROUP BY k) SELECT CAST(k AS INTEGER) AS frequency, CAST(365 // k AS INTEGER) AS period, a + 0 AS amplitude FROM m ORDER BY a DESC, k LIMIT 5""")
+def top_periods(spark, sf_dir):
+    rows = by_season(spark, sf_dir).withColumn("step", F.dayofyear("day") - 1)
+    return rounded(spectral.top_periods(rows, ["region", "year"], "step", "tavg", 365, 5))
+
+
+@query(f"""WITH {DAILY}, x AS (SELECT region, CAST(year(day) AS INTEGER) AS year, row_number() OVER (PARTITION BY region, year(day) ORDER BY day) - 1 AS s, count(*) OVER (PARTITION BY region, year(day)) AS n, day, tavg FROM daily),
+f AS (SELECT region, year, k, n, sum(tavg * cos(2 * pi() * k * s / n)) AS re, sum(tavg * sin(2 * pi() * k * s / n)) AS im FROM x, range(0, 184) AS t(k) WHERE 2 * k <= n GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY region, year ORDER BY round(sqrt(re ** 2 + im ** 2), 9) DESC, k) AS o FROM f),
+g AS (SELECT x.region, x.day, x.tavg, sum(CASE WHEN k = 0 OR 2 * k = x.n THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * s / x.n) + im * sin(2 * pi() * k * s / x.n))) / x.n AS dominant FROM x JOIN b ON x.region = b.region AND x.year = b.year AND o <= 3 GROUP BY x.region, x.day, x.tavg, x.n)
+SELECT region, day, {R('dominant', 'dominant')}, {R('tavg - dominant', 'rest')} FROM g""")
+def dominant_frequencies(spark, sf_dir):
+    return rounded(spectral.split_dominant(by_season(spark, sf_dir), ["region", "year"], "day", "tavg", 3).drop("year"))
+
+
+_PAIRED = [(a, b) for i, a in enumerate(("tavg", "prec", "rad")) for b in ("tavg", "prec", "rad")[i + 1 :]]
+
+
+@query(f"WITH {DAILY} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {R('avg(r)', 'r')} FROM (SELECT covar_pop({a}, {b}) / ((stddev_samp({a}) + 1e-8::DOUBLE) * (stddev_samp({b}) + 1e-8::DOUBLE)) AS r FROM daily GROUP BY region, year(day))" for a, b in _PAIRED))
+def channel_correlation(spark, sf_dir):
+    return rounded(spectral.channel_correlation(by_season(spark, sf_dir), ["region", "year"], ["tavg", "prec", "rad"]))
+
+
+@query(f"""WITH {PANEL}, al AS (SELECT p.region, p.year AS t, q.year AS x, q.y AS v FROM panel p JOIN panel q ON p.region = q.region),
+r AS (SELECT region, t, x > t AS aft, CASE WHEN x > t THEN 2 * t - x ELSE x END AS x, v FROM al WHERE x <> t), rk AS (SELECT *, row_number() OVER (PARTITION BY region, t, aft ORDER BY x DESC) AS back FROM r),
+w AS (SELECT region, t, aft, x, v, k AS length FROM rk, range(5, 11) AS q(k) WHERE back <= k),
+sz AS (SELECT region, t, aft, length, count(*) AS n, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept FROM w GROUP BY ALL HAVING count(*) = length),
+ss AS (SELECT a.region, a.t, a.aft, a.length, sum(sign(b.v - a.v)) AS s FROM w a JOIN w b ON a.region = b.region AND a.t = b.t AND a.aft = b.aft AND a.length = b.length AND a.x < b.x GROUP BY ALL),
+z AS (SELECT *, round((s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0::DOUBLE), 9) AS z FROM sz JOIN ss USING (region, t, aft, length)),
+o AS (SELECT *, intercept + slope * t AS line, row_number() OVER (PARTITION BY region, t, aft ORDER BY abs(z) DESC, length) AS o FROM z WHERE abs(z) > 0.5),
+li AS (SELECT region, t, max(line) FILTER (WHERE NOT aft) AS low, max(line) FILTER (WHERE aft) AS high FROM o WHERE o = 1 GROUP BY ALL),
+mean AS (SELECT region, t, avg(v) FILTER (WHERE x <> t) AS m, t - max(x) FILTER (WHERE x < t) AS back, min(x) FILTER (WHERE x > t) - t AS ahead FROM al GROUP BY region, t)
+SELECT region, t AS year, {R('coalesce((ahead * low + back * high) / (back + ahead), low, high, m)', 'trend')} FROM mean LEFT JOIN li USING (region, t)""")
+def gated_trend(spark, sf_dir):
+    """The gate is at |z| > 0.5, so that the short panel has lines to blend."""
+    p = panel(spark, sf_dir)
+    return rounded(reference.gated_trend(p, p, z_limit=0.5))
+
+
+_TRANSFER = PANEL + """, c AS (SELECT CAST(n_nationkey AS BIGINT) AS region, CAST(n_regionkey AS BIGINT) AS country FROM nation), pc AS (SELECT p.*, country FROM panel p JOIN c ON p.region = c.region),
+sc AS (SELECT country, avg(y) AS m, stddev_pop(y) AS s FROM pc WHERE year <= 1999 GROUP BY 1),
+fr AS (SELECT a.country AS source, f.country AS target, f.region, f.year, f.y, a.m + a.s * (l.y - b.m) / b.s AS p FROM pc f JOIN pc l ON f.region = l.region AND f.year = l.year + 1 JOIN sc b ON b.country = f.country JOIN sc a ON a.country <> f.country WHERE f.year >= 2000),
+tr AS (SELECT * FROM pc WHERE year <= 1999), fit AS (SELECT region, avg(y) AS cl, CASE WHEN count(*) >= 5 THEN coalesce(regr_slope(y, year), 0) ELSE 0 END AS slope, avg(year) AS my, avg(y) FILTER (WHERE o <= 3) AS r3 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS o FROM tr) GROUP BY region),
+ov AS (SELECT country, avg(y) AS overall FROM tr GROUP BY 1),
+j AS (SELECT source, target, year, y, p, coalesce(cl, overall) AS ref_climatology, coalesce(r3, overall) AS ref_rolling3, coalesce(cl + slope * (year - my), overall) AS ref_trend FROM fr LEFT JOIN fit USING (region) JOIN ov ON ov.country = target),
+sp AS (SELECT source, target, quantile_cont(r, 0.5) AS spatial_r FROM (SELECT source, target, year, CASE WHEN count(*) >= 2 AND stddev_pop(y) * stddev_pop(p) > 0 THEN covar_pop(y, p) / (stddev_pop(y) * stddev_pop(p)) END AS r FROM j GROUP BY ALL) GROUP BY ALL)"""
+_ERR = {"rmse": "sqrt(avg((y - {0}) ** 2))", "mae": "avg(abs(y - {0}))"}
+
+
+@query(f"WITH {_TRANSFER} SELECT source, target, {_POINT.replace('y_pred', 'p')}, {', '.join(R('1 - ' + e.format('p') + ' / ' + e.format('ref_' + k), f'skill_{n}_{k}') for k in ('climatology', 'rolling3', 'trend') for n, e in _ERR.items())}, "
+       f"{R('covar_pop(y - ref_trend, p - ref_trend) / (stddev_pop(y - ref_trend) * stddev_pop(p - ref_trend))', 'r_an')}, {R('1 - sum((y - p) ** 2) / (var_pop(y - ref_trend) * count(*))', 'r2_an')}, {R('any_value(spatial_r)', 'spatial_r')} FROM j JOIN sp USING (source, target) GROUP BY source, target")
+def transfer_tier(spark, sf_dir):
+    country = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("region"), F.col("n_regionkey").cast("long").alias("target"))
+    rows = panel(spark, sf_dir).join(F.broadcast(country), "region")  # one row per nation
+    train = rows.where("year <= 1999")
+    scale = train.groupBy("target").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
+    lagged = rows.where("year >= 2000").join(rows.select("region", (F.col("year") + 1).alias("year"), F.col("y").alias("lag")), ["region", "year"])
+    own = lagged.join(F.broadcast(scale), "target").withColumn("z", (F.col("lag") - F.col("m")) / F.col("s")).drop("m", "s")
+    models = own.join(F.broadcast(scale.withColumnRenamed("target", "source")))  # one source per country
+    return rounded(evaluation.transfer(models.withColumn("y_pred", F.col("m") + F.col("s") * F.col("z")), train))
+
+
+@query()
+def domain_distance(spark, sf_dir):
+    country = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("region"), F.col("n_regionkey").cast("long").alias("country"))
+    stats = panel(spark, sf_dir).groupBy(F.col("region").cast("long").alias("region")).agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.min("y").alias("low"), F.max("y").alias("high"))
+    return rounded(shift.domain_distance(country.join(stats, "region", "left"), ["mean", "std", "low", "high"], draws=100))
+
+
+@query("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (n_nationkey * 7 % 180 - 90)::DOUBLE || ',' || (n_nationkey * 3 % 90)::DOUBLE || ']},"properties":{"nation":"' || n_name || '","region":' || n_regionkey || '}}' AS feature FROM nation WHERE n_nationkey % 5 <> 0""")
+def geojson_points(spark, sf_dir):
+    key = F.col("n_nationkey").cast("long")
+    rows = table(spark, sf_dir, "nation").select((key * 7 % 180 - 90).cast("double").alias("longitude"), (key * 3 % 90).cast("double").alias("latitude"), F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region"), F.when(key % 5 != 0, key).alias("code"))
+    return tables.geojson_features(rows, ["nation", "region"], label="code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
@@ -61,3 +62,20 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
         old = new.limit(0)
     upsert(old, new, keys, stamp).write.parquet(target)
     return target
+
+
+def geojson_features(df: DataFrame, properties: Sequence[str], *, lon: str = "longitude", lat: str = "latitude", label: str | None = None) -> DataFrame:
+    """(feature): one GeoJSON point per row as text; rows whose ``label`` is null are dropped, null properties are written."""
+    rows = df.where(F.col(label).isNotNull()) if label else df
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    whole = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))
+    return rows.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def write_geojson(df: DataFrame, path: str, properties: Sequence[str], *, name: str = "labels", per_file: int = 100_000, **columns: str | None) -> None:
+    """The rows as feature collections, one a line, of about ``per_file`` features each; one collection if they fit it."""
+    features = geojson_features(df, properties, **columns)
+    parts = max(1, -(-features.count() // per_file))
+    dealt = features.groupBy(F.pmod(F.xxhash64("feature", F.monotonically_increasing_id()), F.lit(parts)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("f"))
+    head = f'{{"type":"FeatureCollection","name":{json.dumps(name)},"features":['
+    dealt.select(F.concat(F.lit(head), "f", F.lit("]}")).alias("value")).write.mode("errorifexists").text(path)

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables, and operators on hand-made rows."""
 
+import json
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
-from furrow.operators import comparison, contract, evaluation, features, reference, series, splits
+from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits
 from furrow.plans import registry
 from furrow.sources import tables
 from furrow.streaming import events
@@ -167,3 +169,59 @@ def test_one_exchange_for_all_windows_of_a_series(spark, sf):
     plan = series.instance_norm(series.fill(series.interpolate(registry.daily(spark, sf), ["region"], "day", "tavg"), ["region"], "day", "tavg"), ["region"], "tavg")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(region") <= 1 and "CartesianProduct" not in text
+
+
+def test_gated_trend_against_plain_lines(spark):
+    train = spark.createDataFrame([("up", y, 2.0 * (y - 1990)) for y in (*range(1990, 1998), *range(2003, 2011))] + [("two", 2000, 1.0), ("two", 2001, 3.0), ("one", 2000, 7.0)], "region string, year int, y double")
+    asked = spark.createDataFrame([("up", 2000), ("up", 1994), ("two", 2000), ("one", 2000), ("new", 2000)], "region string, year int")
+    got = {(r.region, r.year): r.trend for r in reference.gated_trend(asked, train).collect()}
+    assert got["up", 2000] == pytest.approx(20.0) and got["up", 1994] == pytest.approx(8.0)
+    assert got["two", 2000] == 3.0 and got["one", 2000] == 7.0  # its own year goes where there are others
+    assert got["new", 2000] == pytest.approx(train.agg(F.avg("y")).first()[0])
+
+
+def test_domain_distance_tells_far_from_near(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"{k}{i}", k, float(rng.normal(6 if k == "far" else 0)), float(rng.normal())) for k, n in (("far", 12), ("a", 14), ("b", 14), ("tiny", 2)) for i in range(n)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "region string, country string, f double, g double, empty double")
+    got = {r.country: r for r in shift.domain_distance(df, ["f", "g", "empty"], draws=60).collect()}
+    assert got["far"].auc > 0.99 and got["far"].shift_class == "far" and got["far"].perm_p == pytest.approx(1 / 61)
+    assert got["tiny"].shift_class == "undetermined" and got["tiny"].auc is None and "too few" in got["tiny"].note
+    assert got["a"].auc_debiased < got["far"].auc_debiased and got["a"].n_perm == 60
+    assert got["far"] == next(r for r in shift.domain_distance(df.repartition(7), ["f", "g", "empty"], draws=60).collect() if r.country == "far")
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    y = (x[:, 0] + rng.normal(size=60) > 0.8).astype(int)
+    w = shift.logistic(x, y)
+    z, share = np.column_stack([x, np.ones(60)]), np.where(y == 1, 30 / y.sum(), 30 / (60 - y.sum()))
+    assert np.abs(z.T @ (share * (1 / (1 + np.exp(-z @ w)) - y)) + np.append(w[:3], 0)).max() < 1e-6
+
+
+def test_spectral_finds_a_planted_period(spark):
+    t = np.arange(48)
+    wave = 5 + 3 * np.sin(2 * np.pi * t / 12) + np.cos(2 * np.pi * t / 4)
+    df = spark.createDataFrame([("s", int(i), float(v)) for i, v in zip(t, wave)], "k string, t int, v double")
+    assert [(r.frequency, r.period) for r in spectral.top_periods(df, ["k"], "t", "v", 48).collect()] == [(4, 12), (12, 4)]
+    parts = spectral.split_dominant(df, ["k"], "t", "v", 2).orderBy("t").toPandas()
+    assert np.allclose(parts["dominant"], 5 + 3 * np.sin(2 * np.pi * t / 12)) and np.allclose(parts["dominant"] + parts["rest"], wave)
+
+
+def test_multi_year_edges(spark):
+    rows = [("a", 2000, d, t, t, t, p) for d, t, p in ((1, 12.0, None), (2, None, None), (3, 40.0, None))] + [("a", 2001, 1, None, None, None, 3.0)]
+    df = spark.createDataFrame(rows, "region string, year int, day int, tavg double, tmin double, tmax double, prec double")
+    got = {r.year: r for r in multiyear.weather_summaries(df, ["region", "year"], "maize").collect()}
+    assert got[2000].gdd == 22.0 and got[2000].avg_temp == 26.0 and got[2000].total_precip is None and got[2001].avg_temp is None
+    assert multiyear.weather_summaries(df, ["region", "year"], "maize", heat_base=True).where("year = 2000").first().gdd == 0.0
+    ssm = spark.createDataFrame([("a", i, float(i) if i % 2 else None) for i in range(100)], "k string, day int, ssm double")
+    assert multiyear.remote_summaries(ssm, ["k"], "day", channels=["ssm"]).first().ssm_final == pytest.approx(np.mean(range(41, 100, 2)))
+
+
+def test_geojson_file_is_one_collection(spark, tmp_path):
+    df = spark.createDataFrame([(1.5, 2.5, "a", "x\"y"), (3.0, 4.0, None, "z"), (5.0, 6.0, "b", None)], "longitude double, latitude double, code string, note string")
+    tables.write_geojson(df, str(tmp_path / "g"), ["code", "note"], name='la"bels', label="code")
+    whole = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "g")).collect()))
+    assert whole["type"] == "FeatureCollection" and whole["name"] == 'la"bels' and [f["properties"] for f in whole["features"]] == [{"code": "a", "note": 'x"y'}, {"code": "b", "note": None}]
+    assert whole["features"][0]["geometry"] == {"type": "Point", "coordinates": [1.5, 2.5]}
