@@ -37,6 +37,10 @@ DISTANCE = 2
 #: Keys that so many distinct fingerprints share are compared pair by pair.
 SMALL = 8
 _PIECE = 1 << 16
+#: The looser grouping of :func:`drop_near_duplicates`: words of a shingle, least similarity, bands of minima and minima of a band.
+CLOSE_SHINGLE, CLOSE, BANDS, BAND_ROWS = 5, 0.8, 14, 5
+#: A band key of more than one in so many documents is hot.
+HOT_SHARE = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -126,8 +130,84 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = CLOSE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; empty without words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    shingles = set(map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))) or {b" ".join(tokens)}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+
+
+def band_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key): one row per document and band of minima of its shingle hashes under fixed permutations."""
+    rng = np.random.default_rng(SEED)
+    mul, add = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(text: str | None) -> list[int]:
+        hashes = shingle_set(text)
+        if not len(hashes):
+            return []
+        low = np.min([((hashes[None, at : at + 4096] ^ add) * mul).min(axis=1) for at in range(0, len(hashes), 4096)], axis=0)
+        return [xxhash.xxh64_intdigest(low[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.array(keys(t.as_py()), np.uint64).view(np.int64) for t in b.column(1)]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["id", "key"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, key bigint")
+
+
+def close_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = CLOSE, per_task: int = 10_000) -> DataFrame:
+    """Distinct edges (a, b) of documents whose sets of five-word shingles have a similarity of ``least`` or more.
+
+    Documents that share a band key are compared with the smallest and the largest id of that key, so a
+    group of n costs 2 n comparisons. Every edge is verified on the whole texts. Rows of hot keys meet
+    them in a broadcast of fewer than BANDS x HOT_SHARE rows; comparisons with a much-used document are salted.
+    """
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    marked = cut(band_keys(given, id_col="id", text_col="t").distinct())
+    total = marked.count()
+    shared = cut(marked.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
+    is_hot = F.col("n") * BANDS * HOT_SHARE > total
+    hot = F.broadcast(shared.where(is_hot))
+    met = marked.join(hot, "key").unionByName(marked.join(hot.select("key"), "key", "left_anti").join(shared.where(~is_hot), "key"))
+    pairs = cut(met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("hi").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct())
+    uses = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
+    left = given.join(uses, given.id == uses.a).select("a", F.col("t").alias("ta"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    salted = pairs.join(uses, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    right = salted.join(given.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    both = right.join(left.select("a", "salt", "ta"), ["a", "salt"]).select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, one, keep = None, None, []
+            for k, (a, ta, tb) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3))):
+                if (a, ta) != last:  # rows of one document come together
+                    last, one = (a, ta), shingle_set(ta.as_py())
+                two = shingle_set(tb.as_py())
+                same = len(np.intersect1d(one, two, assume_unique=True))
+                if same and same >= least * (len(one) + len(two) - same):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int32()))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; null ids stay."""
+    """The document with the smallest id of each group, with all its columns; null ids stay.
+
+    Groups by fingerprint go first. What stays is grouped again by shingle similarity, which
+    a distance of two bits seldom reaches.
+    """
     key = free_name(docs, "dropped_id")
     dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")
+    dropped = cut(dropped)
+    rest = docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")
+    groups = components(close_pairs(rest, id_col=id_col, text_col=text_col))
+    loose = cut(groups.where("node <> root").select(F.col("node").alias(key)).distinct())
+    return rest.join(loose, F.col(id_col) == F.col(key), "left_anti")
