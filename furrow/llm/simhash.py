@@ -26,7 +26,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name
@@ -41,6 +41,8 @@ _PIECE = 1 << 16
 CLOSE_SHINGLE, CLOSE, BANDS, BAND_ROWS = 5, 0.8, 14, 5
 #: A band key of more than one in so many documents is hot.
 HOT_SHARE = 4096
+#: Texts of a block that is compared with another in one task.
+BLOCK = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -139,43 +141,40 @@ def shingle_set(text: str | None, shingle: int = CLOSE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
 
 
-def band_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key): one row per document and band of minima of its shingle hashes under fixed permutations."""
+def band_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, mark, keys): the size and a 128-bit mark of each text's shingle set, and its bands' keys; no row without words.
+
+    A key hashes a band of minima of the shingle hashes under fixed permutations.
+    """
     rng = np.random.default_rng(SEED)
     mul, add = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(text: str | None) -> list[int]:
-        hashes = shingle_set(text)
-        if not len(hashes):
-            return []
-        low = np.min([((hashes[None, at : at + 4096] ^ add) * mul).min(axis=1) for at in range(0, len(hashes), 4096)], axis=0)
-        return [xxhash.xxh64_intdigest(low[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), k) for k in range(BANDS)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.array(keys(t.as_py()), np.uint64).view(np.int64) for t in b.column(1)]
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["id", "key"])
+            at, sizes, marks, keys = [], [], [], []
+            for k, t in enumerate(b.column(1)):
+                hashes = shingle_set(t.as_py())
+                if len(hashes):
+                    low = np.min([((hashes[None, i : i + 4096] ^ add) * mul).min(axis=1) for i in range(0, len(hashes), 4096)], axis=0)
+                    at.append(k)
+                    sizes.append(len(hashes))
+                    marks.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
+                    keys.append(np.array([xxhash.xxh64_intdigest(low[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "size", "mark", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, key bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, size bigint, mark binary, keys array<bigint>")
 
 
-def close_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = CLOSE, per_task: int = 10_000) -> DataFrame:
-    """Distinct edges (a, b) of documents whose sets of five-word shingles have a similarity of ``least`` or more.
+def _meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Rows with the columns of a table (key, n, ...) by an equality join; keys with many rows (``n``) come in a bounded broadcast."""
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(table.where(is_hot))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot), key))
 
-    Documents that share a band key are compared with the smallest and the largest id of that key, so a
-    group of n costs 2 n comparisons. Every edge is verified on the whole texts. Rows of hot keys meet
-    them in a broadcast of fewer than BANDS x HOT_SHARE rows; comparisons with a much-used document are salted.
-    """
-    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    marked = cut(band_keys(given, id_col="id", text_col="t").distinct())
-    total = marked.count()
-    shared = cut(marked.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    is_hot = F.col("n") * BANDS * HOT_SHARE > total
-    hot = F.broadcast(shared.where(is_hot))
-    met = marked.join(hot, "key").unionByName(marked.join(hot.select("key"), "key", "left_anti").join(shared.where(~is_hot), "key"))
-    pairs = cut(met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("hi").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct())
+
+def _verified(pairs: DataFrame, given: DataFrame, least: float, per_task: int) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar; comparisons with a much-used ``a`` are salted."""
     uses = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
     left = given.join(uses, given.id == uses.a).select("a", F.col("t").alias("ta"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     salted = pairs.join(uses, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
@@ -194,20 +193,99 @@ def close_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = given.schema["id"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _cell_links(rows: pa.Table, least: float) -> tuple[list, list]:
+    """Edges that join the components (column ``root``) of one cell's texts wherever two of them are similar: a forest of them."""
+    ids, roots = rows.column("id").to_pylist(), rows.column("root").to_pylist()
+    sets = [shingle_set(t) for t in rows.column("t").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    _, group = np.unique(np.array(roots, object).astype(str), return_inverse=True)
+    flags, found = np.zeros(len(codes), np.int32), ([], [])
+    for k in np.flatnonzero(rows.column("outside").to_numpy()):
+        mine = codes[starts[k] : starts[k] + sizes[k]]
+        flags[mine] = 1
+        same = np.add.reduceat(flags[codes], starts)
+        flags[mine] = 0
+        for j in np.flatnonzero((same >= least * (sizes + sizes[k] - same)) & (group != group[k])):
+            if group[j] != group[k]:
+                found[0].append(ids[k])
+                found[1].append(ids[j])
+                group[group == group[j]] = group[k]
+    return found
+
+
+def _rest_links(met: DataFrame, given: DataFrame, labels: DataFrame, total: int, least: float, block: int) -> DataFrame:
+    """Edges between components (labels: node, root) that still share a band key: all such members are compared.
+
+    A key's members outside its largest component are dealt into blocks and compared with one another
+    and with the blocks of the largest one, a cell for each two blocks.
+    """
+    named = cut(met.where("n > 3").select("id", "key").join(labels, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root")))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("c"))
+    live = cut(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", "n", F.col("top.root").alias("most"), F.col("top.c").alias("inside")))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    outside = F.col("root") != F.col("most")
+    dealt = _meet(named, live, "key", total).select("id", "key", "root", outside.alias("outside"), blocks(F.col("n") - F.col("inside")).alias("o"), blocks(F.col("inside")).alias("g"))
+    spot = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("o")).otherwise(F.col("g"))).cast("int")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))  # noqa: E731  blocks from o on are the largest component's
+    of_outside = F.transform(F.sequence(F.lit(0), F.col("o") + F.col("g") - 1), lambda j: pair(F.least(F.col("spot"), j), F.greatest(F.col("spot"), j)))
+    of_inside = F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda i: pair(i, F.col("o") + F.col("spot")))
+    cells = dealt.withColumn("spot", spot).select("id", "key", "root", "outside", F.explode(F.when(F.col("outside"), of_outside).otherwise(of_inside)).alias("p"))
+    kind = given.schema["id"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = _cell_links(rows, least)
+        return pa.table([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], names=["a", "b"])
+
+    return cells.join(given, "id").select("id", "key", "root", "outside", "p.i", "p.j", "t").groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def close_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = CLOSE, per_task: int = 10_000, known: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Distinct edges (a, b) that connect documents whose sets of five-word shingles have a similarity of ``least`` or more.
+
+    Every two documents that share a band key and are similar end in one component of these edges and
+    the ``known`` ones (a, b); every edge is verified on whole texts. Equal sets are linked first and
+    then stand for one. Members of a key are compared with its smallest and largest id and with its
+    hub, the member that shares keys most often; what these leave apart is compared member by member.
+    """
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    sets = cut(band_rows(given, id_col="id", text_col="t"))
+    total = sets.count() + 1
+    marks = sets.groupBy("mark").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    equal = cut(_meet(sets.select("id", "mark"), cut(marks), "mark", total).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    linked = equal if known is None else equal.unionByName(known)
+    labels = components(linked)
+    reps = sets.groupBy("mark").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = reps.select("id", "size", F.explode("keys").alias("key"))
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = _meet(rows, counts, "key", BANDS * total)
+    weights = F.sum("n").over(Window.partitionBy("id"))
+    met = cut(met.join(labels, F.col("id") == F.col("node"), "left").select("id", "size", "key", "n", F.coalesce("root", "id").alias("root")).withColumn("weight", weights))
+    one = F.struct("id", "size", "root")
+    pivots = cut(met.groupBy("key").agg(F.count("*").alias("n"), F.min(one).alias("lo"), F.max(one).alias("hi"), F.max(F.struct("weight", "id", "size", "root")).alias("hub"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", "n", F.array("lo", "hi", F.struct("hub.id", "hub.size", "hub.root")).alias("pivots")))
+    tried = _meet(met.drop("n"), pivots, "key", BANDS * total).select("id", "size", "root", F.explode("pivots").alias("p"))
+    fits = F.least("size", "p.size") >= F.lit(least) * F.greatest("size", "p.size")
+    pairs = cut(tried.where(fits & (F.col("root") != F.col("p.root"))).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct())
+    direct = cut(_verified(pairs, given, least, per_task))
+    labels = components(linked.unionByName(direct))
+    rest = cut(_rest_links(met, given, labels, BANDS * total, least, block))
+    return equal.unionByName(direct).unionByName(rest).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, with all its columns; null ids stay.
 
-    Groups by fingerprint go first. What stays is grouped again by shingle similarity, which
-    a distance of two bits seldom reaches.
+    Links by fingerprint and by shingle similarity, which a distance of two bits seldom reaches, make
+    the groups together, over all documents.
     """
     key = free_name(docs, "dropped_id")
-    dropped = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    dropped = cut(dropped)
-    rest = docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")
-    groups = components(close_pairs(rest, id_col=id_col, text_col=text_col))
-    loose = cut(groups.where("node <> root").select(F.col("node").alias(key)).distinct())
-    return rest.join(loose, F.col(id_col) == F.col(key), "left_anti")
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col) != F.col("component_id"))
+    near = cut(near.select(F.col("component_id").alias("a"), F.col(id_col).alias("b")).distinct())
+    groups = components(near.unionByName(close_pairs(docs, id_col=id_col, text_col=text_col, known=near)).distinct())
+    dropped = cut(groups.where("node <> root").select(F.col("node").alias(key)).distinct())
+    return docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")

@@ -412,3 +412,47 @@ def test_close_pairs_find_loose_copies(spark):
     kept = [r.doc_id for r in simhash.drop_near_duplicates(df).collect()]  # 206 has the fingerprint of 205
     assert sorted(kept, key=str) == sorted([0, *range(100, 140), 100, 200, 202, 205, 207, None], key=str)
     assert simhash.close_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("copies", "block"), [(60, 16), (1000, 512)])
+def test_copies_meet_through_a_base_in_mid_id(spark, copies, block):
+    import random
+
+    pick = random.Random(7)
+    base = [f"w{pick.randrange(99999)}" for _ in range(300)]
+    texts = {copies // 2: " ".join(base)}
+    for k in range(copies + 1):
+        if k not in texts:
+            w = list(base)
+            for at in pick.sample(range(10, 290), 5):
+                w[at] = f"x{k}_{at}"
+            texts[k] = " ".join(w)
+    sets = {k: set(simhash.shingle_set(t).tolist()) for k, t in texts.items()}
+    near = [len(s & sets[copies // 2]) / len(s | sets[copies // 2]) for s in sets.values()]
+    assert min(near) >= 0.8 and sorted(near)[-2] < 0.9
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
+    linked = simhash.components(simhash.close_pairs(df, block=block)).collect()
+    assert len(linked) == copies + 1 and {r.root for r in linked} == {0}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_members_that_pivots_leave_apart_are_compared(spark, block):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for g in range(8):  # groups of which only single pairs are similar
+        words = [f"g{g}w{k}" for k in range(200)]
+        for i in range(6):
+            w = list(words)
+            for at in rng.choice(np.arange(5, 195), 6, replace=False):
+                w[at] = f"y{g}{i}{at}"
+            texts[10 * g + i] = " ".join(w)
+            w[100] = f"z{g}{i}"
+            texts[1000 - 10 * g - i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sets = {k: set(simhash.shingle_set(t).tolist()) for k, t in texts.items()}
+    names = {r.node: r.root for r in simhash.components(simhash.close_pairs(df, block=block)).collect()}
+    for a in texts:
+        for b in texts:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert a == b or names[a] == names[b]
