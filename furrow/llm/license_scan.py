@@ -1,7 +1,8 @@
 """License scans with ordered signature rules.
 
 A rule is a hand-written regular expression over the text's words (lower-case, joined by single
-blanks), with a keyword that must occur before the expression is tried, a priority and a confidence.
+blanks), with a priority and a confidence. It is tried where the literals that its expression needs,
+which are read off the expression itself, all occur.
 Detections are taken in order of priority, then length, then place; one that lies within an interval
 taken before is suppressed. Base phrases are searched besides and always count.
 
@@ -15,6 +16,8 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _constants as constants
+from re._parser import parse
 from typing import NamedTuple
 
 import numpy as np
@@ -25,50 +28,48 @@ from pyspark.sql import functions as F
 #: Phrases of words and their labels; fixed by the result's definition.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 BASE_SCORE = 0.95
-#: One of these stems occurs in every text that any rule can match.
-STEMS = (b"licen", b"copyright", b"copyleft", b"spdx", b"public domain", b"creative commons", b" cc ", b" cc0 ", b"gpl", b"permission", b"redistribut", b"warrant", b"unlicense", b"wtfpl", b"all rights", b"proprietary", b"opensource org", b"open source")
 
-# Names as words: label, keyword, expression of the name.
+# Names as words: label, expression of the name.
 _V = r"(?:v|version|ver)?\s?"
 NAMES = (
-    ("mit", "mit", r"mit(?: x11)?"), ("mit-0", "mit", r"mit (?:0|no attribution|zero)"), ("x11", "x11", r"x11"), ("expat", "expat", r"expat"),
-    ("isc", "isc", r"isc"), ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"), ("bsd-1-clause", "bsd", r"(?:bsd 1 clause|1 clause bsd|one clause bsd)"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"), ("bsd", "bsd", r"bsd"), ("apache-1.0", "apache", rf"apache (?:software )?(?:license )?{_V}1 0"), ("apache-1.1", "apache", rf"apache (?:software )?(?:license )?{_V}1 1"),
-    ("apache-2", "apache", rf"apache (?:software )?(?:license )?{_V}2(?: 0)?"), ("apache", "apache", r"apache(?: software)?"),
-    ("gpl-1.0", "1", rf"(?:gnu )?(?:gpl|general public license) ?{_V}1(?: 0)?"), ("gpl-2.0", "2", rf"(?:gnu )?(?:gpl|general public license) ?{_V}2(?: 0)?"), ("gpl-3.0", "3", rf"(?:gnu )?(?:gpl|general public license) ?{_V}3(?: 0)?"),
-    ("gpl", "g", r"(?:gnu gpl|gpl|gnu general public license)"), ("lgpl-2.0", "2", rf"(?:gnu )?(?:lgpl|library general public license) ?{_V}2(?: 0)?"), ("lgpl-2.1", "2 1", rf"(?:gnu )?(?:lgpl|lesser general public license) ?{_V}2 1"),
-    ("lgpl-3.0", "3", rf"(?:gnu )?(?:lgpl|lesser general public license) ?{_V}3(?: 0)?"), ("lgpl", "l", r"(?:gnu lgpl|lgpl|gnu lesser general public license)"), ("agpl-1.0", "1", rf"(?:affero gpl|affero general public license|agpl) ?{_V}1(?: 0)?"),
-    ("agpl-3.0", "3", rf"(?:gnu )?(?:agpl|affero gpl|affero general public license) ?{_V}3(?: 0)?"), ("agpl", "a", r"(?:gnu agpl|agpl|gnu affero general public license)"), ("gfdl-1.1", "1 1", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 1"),
-    ("gfdl-1.2", "1 2", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 2"), ("gfdl-1.3", "1 3", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 3"), ("gfdl", "fdl", r"gfdl"),
-    ("mpl-1.0", "1 0", rf"(?:mpl|mozilla public license) ?{_V}1 0"), ("mpl-1.1", "1 1", rf"(?:mpl|mozilla public license) ?{_V}1 1"), ("mpl-2.0", "2", rf"(?:mpl|mozilla public license) ?{_V}2(?: 0)?"), ("mpl", "mozilla", r"mozilla public"),
-    ("epl-1.0", "1", rf"(?:epl|eclipse public license) ?{_V}1(?: 0)?"), ("epl-2.0", "2", rf"(?:epl|eclipse public license) ?{_V}2(?: 0)?"), ("edl-1.0", "1", rf"(?:edl|eclipse distribution license) ?{_V}1(?: 0)?"),
-    ("cpl-1.0", "1", rf"(?:cpl|common public license) ?{_V}1(?: 0)?"), ("ipl-1.0", "ibm", rf"ibm public license ?{_V}1(?: 0)?"), ("cddl-1.0", "1 0", rf"(?:cddl|common development and distribution license) ?{_V}1 0"), ("cddl-1.1", "1 1", rf"(?:cddl|common development and distribution license) ?{_V}1 1"),
-    ("eupl-1.1", "1 1", rf"(?:eupl|european union public licen[cs]e) ?{_V}1 1"), ("eupl-1.2", "1 2", rf"(?:eupl|european union public licen[cs]e) ?{_V}1 2"), ("cecill-2.1", "cecill", rf"cecill ?{_V}2 1"), ("cecill-b", "cecill", r"cecill b"), ("cecill-c", "cecill", r"cecill c"), ("cecill", "cecill", r"cecill"),
-    ("artistic-1.0", "artistic", rf"artistic (?:license )?{_V}1(?: 0)?"), ("artistic-2.0", "artistic", rf"artistic (?:license )?{_V}2(?: 0)?"), ("perl", "perl", r"same terms as perl(?: itself)?"), ("psf-2.0", "python", rf"(?:psf|python software foundation)(?: license)? ?{_V}2(?: 0)?"), ("python", "python", r"python software foundation"),
-    ("php-3.0", "php", rf"php (?:license )?{_V}3 0"), ("php-3.01", "php", rf"php (?:license )?{_V}3 01"), ("ruby", "ruby", r"ruby"), ("zlib", "zlib", r"zlib(?: libpng)?"), ("libpng", "libpng", r"libpng(?: 2 0)?"), ("boost-1.0", "boost", rf"boost (?:software )?(?:license )?(?:{_V}1 0)?"), ("bsl-1.0", "bsl", r"bsl 1 0"),
-    ("busl-1.1", "b", rf"(?:busl|business source license) ?{_V}1 1"), ("sspl-1.0", "s", rf"(?:sspl|server side public license)(?: {_V}1(?: 0)?)?"), ("elastic-2.0", "elastic", rf"elastic (?:license )?{_V}2(?: 0)?"), ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("afl-3.0", "afl", rf"(?:afl|academic free license) ?{_V}3 0"), ("osl-3.0", "osl", rf"(?:osl|open software license) ?{_V}3 0"), ("apsl-2.0", "apple", rf"apple public source (?:license )?{_V}2 0"), ("ncsa", "ncsa", r"(?:ncsa|university of illinois ncsa)(?: open source)?"), ("unicode", "unicode", r"unicode(?: dfs 2016| inc)?"), ("curl", "curl", r"curl"),
-    ("openssl", "openssl", r"openssl"), ("postgresql", "postgresql", r"postgresql"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("ofl-1.1", "o", rf"(?:ofl|sil open font license|open font license) ?{_V}1 1"), ("ofl", "font", r"sil open font"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"),
-    ("odbl-1.0", "od", rf"(?:odbl|open database license)(?: {_V}1(?: 0)?)?"), ("odc-by-1.0", "odc", rf"(?:odc by|open data commons attribution)(?: {_V}1(?: 0)?)?"), ("pddl-1.0", "p", rf"(?:pddl|public domain dedication and license)(?: {_V}1(?: 0)?)?"), ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"), ("cdla-permissive-2.0", "cdla", r"cdla permissive 2 0"), ("cdla-sharing-1.0", "cdla", r"cdla sharing 1 0"),
-    ("llama", "llama", r"llama(?: [23])?(?: community)?"), ("openrail", "rail", r"(?:open ?rail(?: m)?|bigscience rail)"), ("mulan-psl-2", "mulan", rf"mulan (?:psl|permissive software license) ?{_V}2"), ("ogl-3.0", "open government", rf"open government licen[cs]e ?{_V}3(?: 0)?"), ("blueoak-1.0", "blue", r"blue ?oak(?: model)?(?: 1 0 0)?"), ("upl-1.0", "universal permissive", r"universal permissive(?: 1 0)?"),
+    ("mit", r"mit(?: x11)?"), ("mit-0", r"mit (?:0|no attribution|zero)"), ("x11", r"x11"), ("expat", r"expat"),
+    ("isc", r"isc"), ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"), ("bsd-1-clause", r"(?:bsd 1 clause|1 clause bsd|one clause bsd)"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"), ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"), ("bsd", r"bsd"), ("apache-1.0", rf"apache (?:software )?(?:license )?{_V}1 0"), ("apache-1.1", rf"apache (?:software )?(?:license )?{_V}1 1"),
+    ("apache-2", rf"apache (?:software )?(?:license )?{_V}2(?: 0)?"), ("apache", r"apache(?: software)?"),
+    ("gpl-1.0", rf"(?:gnu )?(?:gpl|general public license) ?{_V}1(?: 0)?"), ("gpl-2.0", rf"(?:gnu )?(?:gpl|general public license) ?{_V}2(?: 0)?"), ("gpl-3.0", rf"(?:gnu )?(?:gpl|general public license) ?{_V}3(?: 0)?"),
+    ("gpl", r"(?:gnu gpl|gpl|gnu general public license)"), ("lgpl-2.0", rf"(?:gnu )?(?:lgpl|library general public license) ?{_V}2(?: 0)?"), ("lgpl-2.1", rf"(?:gnu )?(?:lgpl|lesser general public license) ?{_V}2 1"),
+    ("lgpl-3.0", rf"(?:gnu )?(?:lgpl|lesser general public license) ?{_V}3(?: 0)?"), ("lgpl", r"(?:gnu lgpl|lgpl|gnu lesser general public license)"), ("agpl-1.0", rf"(?:affero gpl|affero general public license|agpl) ?{_V}1(?: 0)?"),
+    ("agpl-3.0", rf"(?:gnu )?(?:agpl|affero gpl|affero general public license) ?{_V}3(?: 0)?"), ("agpl", r"(?:gnu agpl|agpl|gnu affero general public license)"), ("gfdl-1.1", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 1"),
+    ("gfdl-1.2", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 2"), ("gfdl-1.3", rf"(?:gnu )?(?:fdl|gfdl|free documentation license) ?{_V}1 3"), ("gfdl", r"gfdl"),
+    ("mpl-1.0", rf"(?:mpl|mozilla public license) ?{_V}1 0"), ("mpl-1.1", rf"(?:mpl|mozilla public license) ?{_V}1 1"), ("mpl-2.0", rf"(?:mpl|mozilla public license) ?{_V}2(?: 0)?"), ("mpl", r"mozilla public"),
+    ("epl-1.0", rf"(?:epl|eclipse public license) ?{_V}1(?: 0)?"), ("epl-2.0", rf"(?:epl|eclipse public license) ?{_V}2(?: 0)?"), ("edl-1.0", rf"(?:edl|eclipse distribution license) ?{_V}1(?: 0)?"),
+    ("cpl-1.0", rf"(?:cpl|common public license) ?{_V}1(?: 0)?"), ("ipl-1.0", rf"ibm public license ?{_V}1(?: 0)?"), ("cddl-1.0", rf"(?:cddl|common development and distribution license) ?{_V}1 0"), ("cddl-1.1", rf"(?:cddl|common development and distribution license) ?{_V}1 1"),
+    ("eupl-1.1", rf"(?:eupl|european union public licen[cs]e) ?{_V}1 1"), ("eupl-1.2", rf"(?:eupl|european union public licen[cs]e) ?{_V}1 2"), ("cecill-2.1", rf"cecill ?{_V}2 1"), ("cecill-b", r"cecill b"), ("cecill-c", r"cecill c"), ("cecill", r"cecill"),
+    ("artistic-1.0", rf"artistic (?:license )?{_V}1(?: 0)?"), ("artistic-2.0", rf"artistic (?:license )?{_V}2(?: 0)?"), ("perl", r"same terms as perl(?: itself)?"), ("psf-2.0", rf"(?:psf|python software foundation)(?: license)? ?{_V}2(?: 0)?"), ("python", r"python software foundation"),
+    ("php-3.0", rf"php (?:license )?{_V}3 0"), ("php-3.01", rf"php (?:license )?{_V}3 01"), ("ruby", r"ruby"), ("zlib", r"zlib(?: libpng)?"), ("libpng", r"libpng(?: 2 0)?"), ("boost-1.0", rf"boost (?:software )?(?:license )?(?:{_V}1 0)?"), ("bsl-1.0", r"bsl 1 0"),
+    ("busl-1.1", rf"(?:busl|business source license) ?{_V}1 1"), ("sspl-1.0", rf"(?:sspl|server side public license)(?: {_V}1(?: 0)?)?"), ("elastic-2.0", rf"elastic (?:license )?{_V}2(?: 0)?"), ("ms-pl", r"microsoft public"), ("ms-rl", r"microsoft reciprocal"),
+    ("afl-3.0", rf"(?:afl|academic free license) ?{_V}3 0"), ("osl-3.0", rf"(?:osl|open software license) ?{_V}3 0"), ("apsl-2.0", rf"apple public source (?:license )?{_V}2 0"), ("ncsa", r"(?:ncsa|university of illinois ncsa)(?: open source)?"), ("unicode", r"unicode(?: dfs 2016| inc)?"), ("curl", r"curl"),
+    ("openssl", r"openssl"), ("postgresql", r"postgresql"), ("vim", r"vim"), ("w3c", r"w3c(?: software)?"), ("ofl-1.1", rf"(?:ofl|sil open font license|open font license) ?{_V}1 1"), ("ofl", r"sil open font"), ("unlicense", r"unlicense"), ("wtfpl", r"wtfpl"),
+    ("odbl-1.0", rf"(?:odbl|open database license)(?: {_V}1(?: 0)?)?"), ("odc-by-1.0", rf"(?:odc by|open data commons attribution)(?: {_V}1(?: 0)?)?"), ("pddl-1.0", rf"(?:pddl|public domain dedication and license)(?: {_V}1(?: 0)?)?"), ("cc0-1.0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"), ("cdla-permissive-2.0", r"cdla permissive 2 0"), ("cdla-sharing-1.0", r"cdla sharing 1 0"),
+    ("llama", r"llama(?: [23])?(?: community)?"), ("openrail", r"(?:open ?rail(?: m)?|bigscience rail)"), ("mulan-psl-2", rf"mulan (?:psl|permissive software license) ?{_V}2"), ("ogl-3.0", rf"open government licen[cs]e ?{_V}3(?: 0)?"), ("blueoak-1.0", r"blue ?oak(?: model)?(?: 1 0 0)?"), ("upl-1.0", r"universal permissive(?: 1 0)?"),
 )
 _CC = (("by", r"(?:by|attribution)"), ("by-sa", r"(?:by sa|attribution share ?alike)"), ("by-nd", r"(?:by nd|attribution no ?deriv(?:ative)?s?)"), ("by-nc", r"(?:by nc|attribution non ?commercial)"), ("by-nc-sa", r"(?:by nc sa|attribution non ?commercial share ?alike)"), ("by-nc-nd", r"(?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?)"))
 _CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-# Sentences of license texts and notices: label, keyword, expression, confidence.
+# Sentences of license texts and notices: label, expression, confidence.
 SENTENCES = (
-    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.98), ("mit", "above copyright", r"the above copyright notice and this permission notice shall be included in all copies", 0.97),
-    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.97), ("apache-2", "apache", r"you may not use this file except in compliance with the license", 0.9),
-    ("apache-2", "apache org", r"(?:www )?apache org licenses license 2 0", 0.98), ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80}? may be used to endorse or promote products", 0.95), ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 0.95),
-    ("gpl", "free software", r"this program is free software you can redistribute it and or modify it", 0.95), ("lgpl", "library is free", r"this library is free software you can redistribute it and or modify it", 0.95), ("gpl", "gnu org", r"(?:www )?gnu org licenses(?: old licenses)?(?: gpl)?", 0.85),
-    ("gpl-3.0-or-later", "either version 3", r"either version 3 of the license or (?:at your option )?any later version", 0.97), ("gpl-2.0-or-later", "either version 2", r"either version 2 of the license or (?:at your option )?any later version", 0.97),
-    ("agpl-3.0", "affero", r"interact with it remotely through a computer network", 0.8), ("mpl-2.0", "mozilla", r"subject to the terms of the mozilla public license v 2 0", 0.98), ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.98),
-    ("zlib", "as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95), ("boost-1.0", "boost org", r"(?:www )?boost org license 1 0 txt", 0.98), ("wtfpl", "what the", r"do what the fuck you want to public license", 0.98),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", 0.85), ("public-domain", "public domain", r"this work is in the public domain", 0.9), ("public-domain", "public domain", r"no known copyright restrictions", 0.7),
-    ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0", 0.98), ("public-domain", "creativecommons", r"creativecommons org publicdomain mark 1 0", 0.95), ("proprietary", "all rights", r"all rights reserved", 0.6), ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 0.8),
-    ("proprietary", "may not be", r"may not be (?:reproduced|copied|distributed) (?:without|in whole or in part)", 0.7), ("proprietary", "permission", r"without the prior written permission", 0.6), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 0.5), ("copyright", "copyright", r"copyright holders?", 0.4),
-    ("open-source", "opensource org", r"opensource org licenses [a-z0-9]+", 0.8), ("unknown-license", "licen", r"licen[cs]ed under (?:the )?terms", 0.4), ("unknown-license", "licen", r"(?:see|refer to) the licen[cs]e(?: file)?", 0.4), ("gpl", "copyleft", r"copyleft", 0.5),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", 0.98), ("mit", r"the above copyright notice and this permission notice shall be included in all copies", 0.97),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.97), ("apache-2", r"you may not use this file except in compliance with the license", 0.9),
+    ("apache-2", r"(?:www )?apache org licenses license 2 0", 0.98), ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
+    ("bsd-3-clause", r"neither the name of .{1,80}? may be used to endorse or promote products", 0.95), ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", 0.95),
+    ("gpl", r"this program is free software you can redistribute it and or modify it", 0.95), ("lgpl", r"this library is free software you can redistribute it and or modify it", 0.95), ("gpl", r"(?:www )?gnu org licenses(?: old licenses)?(?: gpl)?", 0.85),
+    ("gpl-3.0-or-later", r"either version 3 of the license or (?:at your option )?any later version", 0.97), ("gpl-2.0-or-later", r"either version 2 of the license or (?:at your option )?any later version", 0.97),
+    ("agpl-3.0", r"interact with it remotely through a computer network", 0.8), ("mpl-2.0", r"subject to the terms of the mozilla public license v 2 0", 0.98), ("unlicense", r"this is free and unencumbered software released into the public domain", 0.98),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95), ("boost-1.0", r"(?:www )?boost org license 1 0 txt", 0.98), ("wtfpl", r"do what the fuck you want to public license", 0.98),
+    ("public-domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", 0.85), ("public-domain", r"this work is in the public domain", 0.9), ("public-domain", r"no known copyright restrictions", 0.7),
+    ("cc0-1.0", r"creativecommons org publicdomain zero 1 0", 0.98), ("public-domain", r"creativecommons org publicdomain mark 1 0", 0.95), ("proprietary", r"all rights reserved", 0.6), ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 0.8),
+    ("proprietary", r"may not be (?:reproduced|copied|distributed) (?:without|in whole or in part)", 0.7), ("proprietary", r"without the prior written permission", 0.6), ("copyright", r"copyright (?:c )?(?:19|20)\d\d", 0.5), ("copyright", r"copyright holders?", 0.4),
+    ("open-source", r"opensource org licenses [a-z0-9]+", 0.8), ("unknown-license", r"licen[cs]ed under (?:the )?terms", 0.4), ("unknown-license", r"(?:see|refer to) the licen[cs]e(?: file)?", 0.4), ("gpl", r"copyleft", 0.5),
 )
 
 
@@ -76,7 +77,7 @@ class Rule(NamedTuple):
     label: str
     priority: int
     score: float
-    keyword: bytes
+    needs: tuple[tuple[bytes, ...], ...]
     pattern: re.Pattern
 
 
@@ -86,38 +87,86 @@ class Found(NamedTuple):
     rule: Rule
 
 
+def needs(pattern: str) -> tuple[tuple[bytes, ...], ...]:
+    """Sets of literals, read off an expression: every text that it matches has one of each set. The longest come first."""
+    found: list[tuple[str, ...]] = []
+
+    def walk(items) -> None:
+        run = ""
+        for kind, value in [*items, (None, None)]:
+            if kind is constants.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append((run,))
+                run = ""
+            if kind is constants.SUBPATTERN:
+                walk(value[3])
+            elif kind in (constants.MAX_REPEAT, constants.MIN_REPEAT) and value[0]:
+                walk(value[2])
+            elif kind is constants.BRANCH:
+                best = [needs_of(branch) for branch in value[1]]
+                if all(best):
+                    found.append(tuple(sorted({x for b in best for x in b[0]})))
+
+    def needs_of(items) -> list[tuple[str, ...]]:
+        nonlocal found
+        before, found = found, []
+        walk(items)
+        mine, found = found, before
+        return sorted(mine, key=lambda c: -min(map(len, c)))
+
+    every = list(dict.fromkeys(needs_of(parse(pattern))))
+    return tuple(tuple(x.encode() for x in c) for c in every if min(map(len, c)) > 1 or c == every[0])
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: full notices and tags, then sentences, then titles."""
     out: list[Rule] = []
 
-    def add(label: str, priority: int, score: float, keyword: str, pattern: str) -> None:
-        out.append(Rule(label, priority, score, keyword.encode(), re.compile(rf"(?<= ){pattern}(?= )".encode())))
+    def add(label: str, priority: int, score: float, pattern: str) -> None:
+        out.append(Rule(label, priority, score, needs(pattern), re.compile(rf"(?<= ){pattern}(?= )".encode())))
 
-    names = [*NAMES, *((f"cc-{k}-{v.replace(' ', '.')}", "c", rf"(?:cc|creative commons) {n}(?: {v}| licen[cs]e {v})") for k, n in _CC for v in _CC_VERSIONS), *((f"cc-{k}", "c", rf"(?:cc|creative commons) {n}") for k, n in _CC)]
-    for label, keyword, name in names:
+    names = [*NAMES, *((f"cc-{k}-{v.replace(' ', '.')}", rf"(?:cc|creative commons) {n}(?: {v}| licen[cs]e {v})") for k, n in _CC for v in _CC_VERSIONS), *((f"cc-{k}", rf"(?:cc|creative commons) {n}") for k, n in _CC)]
+    for label, name in names:
         exact = bool(re.search(r"\d", label))
-        add(label, 40 - (not exact), 0.99 if exact else 0.9, keyword, rf"(?:re)?licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?{name}(?: licen[cs]e)?")
-        add(label, 38 - (not exact), 0.98, "spdx", rf"spdx license identifier {name}(?: (?:only|or later))?")
-        add(label, 20 - (not exact), 0.8 if exact else 0.6, keyword, rf"(?:the )?{name} licen[cs]e(?: {_V}\d(?: \d)?)?")
+        add(label, 40 - (not exact), 0.99 if exact else 0.9, rf"(?:re)?licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?{name}(?: licen[cs]e)?")
+        add(label, 38 - (not exact), 0.98, rf"spdx license identifier {name}(?: (?:only|or later))?")
+        add(label, 20 - (not exact), 0.8 if exact else 0.6, rf"(?:the )?{name} licen[cs]e(?: {_V}\d(?: \d)?)?")
         if exact and len(label) > 4:
-            add(label, 21, 0.7, keyword, name)
+            add(label, 21, 0.7, name)
     for k, _ in _CC:
         for v in _CC_VERSIONS:
-            add(f"cc-{k}-{v.replace(' ', '.')}", 39, 0.99, "creativecommons", rf"creativecommons org licenses {k.replace('-', ' ')} {v}")
-    for label, keyword, pattern, score in SENTENCES:
-        add(label, 30 if score >= 0.7 else 10, score, keyword, pattern)
+            add(f"cc-{k}-{v.replace(' ', '.')}", 39, 0.99, rf"creativecommons org licenses {k.replace('-', ' ')} {v}")
+    for label, pattern, score in SENTENCES:
+        add(label, 30 if score >= 0.7 else 10, score, pattern)
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+@lru_cache(maxsize=1)
+def _by_first_need() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule], ...]], ...]:
+    out: dict = {}
+    for k, r in enumerate(rules()):
+        out.setdefault(r.needs[0], []).append((k, r))
+    return tuple((c, tuple(v)) for c, v in out.items())
+
+
+def candidates(padded: bytes) -> list[Rule]:
+    """The rules whose literals occur, in order; no other rule can match."""
+    found = []
+    for first, some in _by_first_need():
+        if any(x in padded for x in first):
+            found += [(k, r) for k, r in some if all(any(x in padded for x in c) for c in r.needs[1:])]
+    return [r for _, r in sorted(found, key=lambda f: f[0])]
+
+
 _CLEAN = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
 def detect(padded: bytes) -> list[Found]:
     """The detections that stay; ``padded`` is the words joined by single blanks, with one at each end."""
-    if not any(s in padded for s in STEMS):
-        return []
-    hits = [Found(m.start(), m.end(), r) for r in rules() if r.keyword in padded for m in r.pattern.finditer(padded)]
+    hits = [Found(m.start(), m.end(), r) for r in candidates(padded) for m in r.pattern.finditer(padded)]
     kept: list[Found] = []
     starts, ends = [], []  # of kept intervals that lie in no other; both ascend
     for h in sorted(hits, key=lambda h: (-h.rule.priority, h.start - h.end, h.start, h.rule.label)):

@@ -456,3 +456,48 @@ def test_members_that_pivots_leave_apart_are_compared(spark, block):
         for b in texts:
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 assert a == b or names[a] == names[b]
+
+
+def minimal_texts(items):
+    """Texts that match a parsed expression: optional parts left out, one text for each branch."""
+    from re import _constants as c
+
+    out = [""]
+    for kind, value in items:
+        if kind is c.LITERAL:
+            more = [chr(value)]
+        elif kind is c.ANY:
+            more = ["x"]
+        elif kind is c.IN:
+            more = [next(chr(v if k is c.LITERAL else v[0]) if k is not c.CATEGORY else {c.CATEGORY_SPACE: " ", c.CATEGORY_DIGIT: "1"}[v] for k, v in value)]
+        elif kind is c.SUBPATTERN:
+            more = minimal_texts(value[3])
+        elif kind in (c.MAX_REPEAT, c.MIN_REPEAT):
+            more = [t * value[0] for t in minimal_texts(value[2])] if value[0] else [""]
+        elif kind is c.BRANCH:
+            more = [t for branch in value[1] for t in minimal_texts(branch)]
+        else:
+            assert kind is c.ASSERT
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gate_lets_every_rule_match():
+    from re._parser import parse
+
+    n = 0
+    for rule in license_scan.rules():
+        for t in minimal_texts(parse(rule.pattern.pattern.decode())):
+            padded = f" {t} ".encode()
+            n += 1
+            assert rule.pattern.search(padded) and rule in license_scan.candidates(padded) and license_scan.detect(padded), (rule, t)
+    assert n > len(license_scan.rules())
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("Apache 2.0", "apache-2"), ("BSD 3-Clause", "bsd-3-clause"), ("MPL 2.0", "mpl-2.0"), ("creativecommons.org/publicdomain/zero/1.0", "cc0-1.0"), ("It may not be reproduced in whole or in part.", "proprietary"),
+    ("neither the name of X may be used to endorse or promote products", "bsd-3-clause"), ("interact with it remotely through a computer network", "agpl-3.0"), ("Academic Free License 3.0", "afl-3.0"), ("no known copyright restrictions", "public-domain"),
+])
+def test_license_labels_without_other_license_words(text, label):
+    assert label in license_scan.scan(text)[5].split(",")
