@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 
@@ -32,25 +33,68 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for checkpoints and for tables that a job writes and reads back.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (local tests)
-    a temporary one is made.
+    It is ``spark.checkpoint.dir`` of the session. Only a local session without one gets a temporary
+    folder; on a cluster that would be one machine's own, so there it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="furrow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="furrow-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for tables that a job writes and reads back."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="furrow-"))
-    return context.getCheckpointDir()
+#: Bits of one bitmap (Spark's bitmap functions fix it), and the least and most bits of a field of them (2^30 bits are 128 MB).
+BUCKET = 32768
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 30
+
+
+def field_bits(entries: int, per_entry: int = 16) -> int:
+    """The size of a bit field for so many entries; beyond the largest more rows pass it, none is lost."""
+    bits = MIN_BITS
+    while bits < min(MAX_BITS, per_entry * entries):
+        bits *= 2
+    return bits
+
+
+def bitmaps(slots: DataFrame, slot: str = "slot") -> DataFrame:
+    """(bucket, bitmap) of a table's slots, as 4 KB bitmaps."""
+    return slots.groupBy(F.shiftright(slot, 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col(slot) % BUCKET).alias("bitmap"))
+
+
+def has_bit(bitmap: Column, slot: Column) -> Column:
+    """Whether a slot's bit is set in its bucket's bitmap; false where there is none."""
+    at = slot % BUCKET
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def split_by_field(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame]:
+    """(possible, others): rows whose key may be among the wanted keys, and rows whose key certainly isn't.
+
+    A bit field of the wanted keys' hashes is broadcast (``MAX_BITS`` / 8 bytes at most), so that rows of
+    the second kind need no shuffle. The first kind has few others among it; an equality join decides there.
+    """
+    bits = field_bits(wanted.count())
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    field = cut(bitmaps(wanted.select(slot(F.col(wanted_key)).alias("slot"))))
+    bucket, bitmap, seen = free_name(rows, "bucket"), free_name(rows, "bitmap"), free_name(rows, "seen")
+    side = F.broadcast(field.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+    s = slot(F.col(key))
+    marked = rows.join(side, F.shiftright(s, 15) == F.col(bucket), "left").withColumn(seen, has_bit(F.col(bitmap), s))
+    return marked.where(seen).select(*rows.columns), marked.where(~F.col(seen)).select(*rows.columns)
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -17,24 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, free_name
+from .common import ascii_lower, bitmaps, cut, field_bits, free_name, has_bit
 
-#: Bits of one bitmap (Spark's bitmap functions fix it).
-BUCKET = 32768
-#: Largest bit field that is broadcast: 2^30 bits are 128 MB. Beyond its capacity more rows shuffle, none is lost.
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 30
 BITS_PER_ROW = 16
 #: A group of more than one in so many rows is hot; there are fewer such groups than this, so they are broadcast.
 HOT_SHARE = 4096
 
 
-def field_bits(rows: int) -> int:
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, BITS_PER_ROW * rows):
-        bits *= 2
-    return bits
-
-
 def _slots(text: Column, bits: int) -> tuple[Column, Column]:
     """Two slots out of the two halves of a 64-bit hash."""
     h = F.xxhash64(text)
@@ -45,20 +34,14 @@ def repeated_slots(texts: DataFrame, text_col: str, bits: int) -> DataFrame:
     """(bucket, bitmap) of the slots that two or more rows hit."""
     a, b = _slots(F.col(text_col), bits)
     slots = texts.select(F.explode(F.array(a, b)).alias("slot"))
-    return slots.groupBy("slot").count().where("count > 1").groupBy(F.shiftright("slot", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BUCKET).alias("bitmap"))
-
-
-def _has(bitmap: Column, slot: Column) -> Column:
-    at = slot % BUCKET
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return bitmaps(slots.groupBy("slot").count().where("count > 1"))
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, hot_share: int = HOT_SHARE) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     texts = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("t"))
     total = docs.count()
-    bits = bits or field_bits(total)
+    bits = bits or field_bits(total, BITS_PER_ROW)
     field = cut(repeated_slots(texts, "t", bits))
     one, two = _slots(F.col("t"), bits)
     rows = texts.select("id", F.sha2("t", 256).alias("sha"), one.alias("s1"), two.alias("s2"), F.monotonically_increasing_id().alias("row"))
@@ -66,7 +49,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         side = field.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}"))
         rows = rows.join(F.broadcast(side), F.shiftright(f"s{k}", 15) == F.col(f"b{k}"), "left")
     # bits are set or not whatever the bucket: the field is bits / 8 bytes at most
-    marked = cut(rows.select("id", "sha", "row", (_has(F.col("m1"), F.col("s1")) & _has(F.col("m2"), F.col("s2"))).alias("maybe")))
+    marked = cut(rows.select("id", "sha", "row", (has_bit(F.col("m1"), F.col("s1")) & has_bit(F.col("m2"), F.col("s2"))).alias("maybe")))
     alone = marked.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = marked.where("maybe").select("id", "sha", "row")
     order = F.struct(F.col("id").isNotNull().alias("given"), F.col("id"), F.col("row"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, split_by_field
 
 SHINGLE = 3
 SEED = 42
@@ -82,6 +82,11 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(key).alias("key"), "fp")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """The fingerprints dealt over enough tasks for 64 variants of each (about 20,000 fingerprints a task)."""
+    return fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // 20_000)), "fp")
+
+
 def _near(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
 
@@ -92,7 +97,7 @@ def links(fps: DataFrame, *, small: int = SMALL) -> DataFrame:
     Pairs within small keys are all given; in large ones each centre gives a star, which connects the
     same fingerprints.
     """
-    variants = _variants(fps)
+    variants = _variants(_spread(fps))
     shared = cut(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     twos = shared.where("n = 2").select("a", "b")
     members = variants.join(shared.where((F.col("n") > 2) & (F.col("n") <= small)).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("m"))
@@ -175,6 +180,7 @@ def _meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, given: DataFrame, least: float, per_task: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are similar; comparisons with a much-used ``a`` are salted."""
+    given, _ = split_by_field(given, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     uses = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
     left = given.join(uses, given.id == uses.a).select("a", F.col("t").alias("ta"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     salted = pairs.join(uses, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
@@ -242,6 +248,8 @@ def _rest_links(met: DataFrame, given: DataFrame, labels: DataFrame, total: int,
         a, b = _cell_links(rows, least)
         return pa.table([pa.array(a, rows.schema.field("id").type), pa.array(b, rows.schema.field("id").type)], names=["a", "b"])
 
+    cells = cut(cells)
+    given, _ = split_by_field(given, "id", cells.select("id").distinct(), "id")
     return cells.join(given, "id").select("id", "key", "root", "outside", "p.i", "p.j", "t").groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -288,4 +296,5 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     near = cut(near.select(F.col("component_id").alias("a"), F.col(id_col).alias("b")).distinct())
     groups = components(near.unionByName(close_pairs(docs, id_col=id_col, text_col=text_col, known=near)).distinct())
     dropped = cut(groups.where("node <> root").select(F.col("node").alias(key)).distinct())
-    return docs.join(dropped, F.col(id_col) == F.col(key), "left_anti")
+    possible, others = split_by_field(docs, id_col, dropped, key)
+    return possible.join(dropped, F.col(id_col) == F.col(key), "left_anti").unionByName(others)

@@ -5,14 +5,15 @@ the token column with dictionary encoding, the metadata columns delta-encoded, w
 pages and with page indexes, so that a reader can fetch the metadata alone or the ids of a few
 documents. What an operator returns is read back from the files.
 
-The library encodes each distinct piece of text once per worker and the ids are remembered in a table of
-bounded size. Pieces are cut only between a character that isn't white space and one that is; the
-tokenizer's own word pattern never matches across such a place, so the ids are those of the whole text.
-Texts with rare white space or a special string are encoded whole.
+Texts are cut before each blank; the tokenizer's own word pattern never matches across such a place, so the
+ids are those of the whole text. The library encodes each distinct piece once per worker and the ids are
+remembered in a table of bounded size. Texts with blanks side by side, other rare white space or a special
+string are encoded whole.
 
 Defined results: a null or empty text has the end id only; ids are ordered ascending, nulls first; rows
-that repeat an id keep the order in which they are sorted (undefined among equal rows); an empty table
-gives no rows.
+that repeat an id are ordered by a hash of their texts, so that many of them spread over partitions; an
+empty table gives no rows; a long text is one row, encoded in a call of its own. Other columns aren't read,
+so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +37,12 @@ from .common import shared_folder
 
 END = 0
 REMEMBERED = 900_000
-#: White space with the run of other characters behind it; letters end before a comma or full stop, where the word pattern always ends a token.
-PIECES = re.compile(r"[ \n\t\r]*+(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[.,])|[^ \n\t\r]+)|[ \n\t\r]+")
-SPACED = re.compile(r"[\n\t\r]|(?<=.) | $")
-RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A piece of letters and then neither letters nor digits nor white space: the word pattern takes the two parts apart.
+WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\w\s]*)")
+#: Where a text can't be cut at each blank: white space other than these four, two blanks side by side, a blank at the end.
+UNCUT = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | $"
+#: Bytes of text that are encoded at once.
+GROUP_BYTES = 8 << 20
 WRITE = {
     "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": str(1 << 20),
@@ -45,71 +50,101 @@ WRITE = {
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts as unsigned 32-bit integers."""
 
-    def __init__(self, file: str, remembered: int = REMEMBERED):
+    def __init__(self, file: str, remembered: int = REMEMBERED, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.remembered = Tokenizer.from_file(file), remembered
         specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([RARE_SPACE.pattern, *specials]))
-        self.newline = self.library.encode("\n", add_special_tokens=False).ids
+        self.uncut = "|".join([UNCUT, *specials])
+        # how the byte-level vocabulary writes bytes: printable ones as themselves, the others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.letters = {k: k if k in plain else next(others) for k in range(256)}
+        self.end = np.array([end], "<u4").tobytes()
         self.known: dict[str, bytes] = {}  # piece -> ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words without inner white space, many in a call: a line break before a word, alone or before its one blank, is a token of its own."""
-        ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.newline[0])
-        if len(self.newline) != 1 or len(ends) != len(words) - 1:
-            return self._encode(words)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)])]
-
-    def _learn(self, pieces: list[str]) -> None:
-        spaced = [SPACED.search(p) is not None for p in pieces]
-        if plain := [p for p, x in zip(pieces, spaced) if not x]:
-            self.known.update(zip(plain, self._encode_words(plain)))
-        if other := [p for p, x in zip(pieces, spaced) if x]:
-            self.known.update(zip(other, self._encode(other)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _word(self, word: str) -> bytes:
+        """The ids of one word of the word pattern, by the library's model alone."""
+        ids = self.known.get(word)
+        if ids is None:
+            found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            self.known[word] = ids = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known.clear()
-        pieces = [None if self.whole.search(t) else PIECES.findall(t) for t in texts]
-        missing = list(set().union(*filter(None, pieces)).difference(self.known))
-        for at in range(0, len(missing), 4096):
-            self._learn(missing[at : at + 4096])
-        ids, odd = self.known.__getitem__, iter(self._encode([t for t, found in zip(texts, pieces) if found is None]))
-        return [next(odd) if found is None else b"".join(map(ids, found)) for found in pieces]
+        known, other = self.known, []
+        for p in pieces:
+            if p not in known:
+                if m := WORD.fullmatch(p):
+                    a, b = m.groups()
+                    known[p] = self._word(a) + self._word(b) if b else self._word(a)
+                else:
+                    other.append(p)
+        known.update(zip(other, self._encode(other)))
+        return list(map(known.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, the end id behind each; how many each has).
+
+        A text is cut before each blank, the distinct pieces are encoded, and their ids laid out in order.
+        """
+        odd = np.asarray(pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False), bool)
+        whole = texts.filter(pa.array(odd)).to_pylist()
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if len(whole) else texts, " ")
+        at = np.asarray(split.offsets) - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), np.array(coded.indices)
+        first = at[:-1]  # the first piece of a text has no blank before it; a whole text is its only piece
+        heads = [words[k] for k in index[first].tolist()]
+        index[first] = len(words) + np.arange(len(texts), dtype=np.int32)
+        ids = self._ids([" " + w for w in words] + heads)
+        if len(whole):
+            for k, x in zip(np.flatnonzero(odd).tolist(), self._encode(whole)):
+                ids[len(words) + k] = x
+        ids.append(self.end)
+        index = np.insert(index, at[1:], len(ids) - 1)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lengths = n[index]
+        behind = np.cumsum(lengths)
+        place = np.repeat((np.cumsum(n) - n)[index] - (behind - lengths), lengths)
+        place += np.arange(len(place))
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        return flat[place], np.diff(behind[at[1:] + np.arange(len(texts))], prepend=0)
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str) -> Encoder:
-    return Encoder(file if os.path.exists(file) else SparkFiles.get(os.path.basename(file)))
+def encoder(file: str, end: int = END) -> Encoder:
+    return Encoder(file if os.path.exists(file) else SparkFiles.get(os.path.basename(file)), end=end)
 
 
 def write_tokens(docs: DataFrame, file: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
     """Write (id, part, at, n_tokens, ids) in ascending id order; ``at`` counts the ids before it in its part."""
     kind = docs.schema[id_col].dataType.simpleString()
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = encoder(file), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                ids = [x + last for x in coder.encode([t.as_py() for t in b.column(1)])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+        coder, part, at = encoder(file, end), TaskContext.get().partitionId(), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = np.cumsum(np.asarray(pc.binary_length(b.column(1))), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                ids, n = coder.encode(b.column(1).slice(x, y - x))
                 ends = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends[:-1]), pa.array(n), lists], names=["id", "part", "at", "n_tokens", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends[:-1]), pa.array(n), lists], names=["id", "part", "at", "n_tokens", "ids"])
                 at += int(ends[-1])
 
-    ordered = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).repartitionByRange("id").sortWithinPartitions("id")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ordered = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t")
     ordered.mapInArrow(run, f"id {kind}, part int, at bigint, n_tokens bigint, ids array<int>").write.mode("overwrite").options(**WRITE).parquet(path)
 
 
