@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 END = 0
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 #: A piece of letters and then neither letters nor digits nor white space: the word pattern takes the two parts apart.
-WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\w\s]*)")
+WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\w\s]*)")
 #: Where a text can't be cut at each blank: white space other than these four, two blanks side by side, a blank at the end.
 UNCUT = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | $"
 #: Bytes of text that are encoded at once.
@@ -63,33 +63,44 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         self.letters = {k: k if k in plain else next(others) for k in range(256)}
+        self.blank = chr(self.letters[32])
         self.end = np.array([end], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}  # piece -> ids
+        self.known: dict[str, bytes] = {}  # piece behind a blank -> ids
+        self.signs: dict[str, bytes] = {}  # what follows a word's letters -> ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """The ids of one word of the word pattern, by the library's model alone."""
-        ids = self.known.get(word)
-        if ids is None:
-            found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            self.known[word] = ids = array("I", [t.id for t in found]).tobytes()
-        return ids
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known, other = self.known, []
-        for p in pieces:
-            if p not in known:
-                if m := WORD.fullmatch(p):
-                    a, b = m.groups()
-                    known[p] = self._word(a) + self._word(b) if b else self._word(a)
-                else:
-                    other.append(p)
-        known.update(zip(other, self._encode(other)))
-        return list(map(known.__getitem__, pieces))
+        written = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.library.model.tokenize(written)]).tobytes()
+
+    def _ids(self, pieces: list[str], before: str, known: dict[str, bytes]) -> list[bytes]:
+        """The ids of each piece behind ``before``, looked up in ``known`` and added to it."""
+        if len(known) > self.remembered:
+            known.clear()
+        if len(self.signs) > self.remembered:
+            self.signs.clear()
+        found = list(map(known.get, pieces))
+        other, signs = [], self.signs
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            if m := WORD.fullmatch(pieces[k]):
+                a, b = m.groups()
+                if (ids := known.get(a)) is None:
+                    known[a] = ids = self._word(before + a)
+                if b:
+                    if b not in signs:
+                        signs[b] = self._encode([b])[0]
+                    ids += signs[b]
+                    if len(b) == 1:
+                        known[pieces[k]] = ids
+                found[k] = ids
+            else:
+                other.append(k)
+        for k, ids in zip(other, self._encode([before + pieces[k] for k in other])):
+            known[pieces[k]] = found[k] = ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the end id behind each; how many each has).
@@ -105,19 +116,15 @@ class Encoder:
         first = at[:-1]  # the first piece of a text has no blank before it; a whole text is its only piece
         heads = [words[k] for k in index[first].tolist()]
         index[first] = len(words) + np.arange(len(texts), dtype=np.int32)
-        ids = self._ids([" " + w for w in words] + heads)
+        ids = self._ids(words, " ", self.known) + self._ids(heads, "", {})
         if len(whole):
             for k, x in zip(np.flatnonzero(odd).tolist(), self._encode(whole)):
                 ids[len(words) + k] = x
         ids.append(self.end)
         index = np.insert(index, at[1:], len(ids) - 1)
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lengths = n[index]
-        behind = np.cumsum(lengths)
-        place = np.repeat((np.cumsum(n) - n)[index] - (behind - lengths), lengths)
-        place += np.arange(len(place))
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        return flat[place], np.diff(behind[at[1:] + np.arange(len(texts))], prepend=0)
+        laid = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[: len(index) + 1] // 4
+        return np.frombuffer(laid.buffers()[2], "<u4")[: ends[-1]], np.diff(ends[at[1:] + 1 + np.arange(len(texts))], prepend=0)
 
 
 @lru_cache(maxsize=2)
