@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from .common import shared_folder
 
 END = 0
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: A piece of letters and then neither letters nor digits nor white space: the word pattern takes the two parts apart.
 WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([^\w\s]*)")
 #: Where a text can't be cut at each blank: white space other than these four, two blanks side by side, a blank at the end.
 UNCUT = r"[\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | $"
 #: Bytes of text that are encoded at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 WRITE = {
     "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10),
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": str(1 << 20),
