@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import string
 import tempfile
@@ -51,9 +52,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    What earlier steps shuffled and checkpointed and nobody refers to any more is then let go: Spark's
+    cleaner removes it once the driver has collected its garbage, which a driver with little to do puts off.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Bits of one bitmap (Spark's bitmap functions fix it), and the least and most bits of a field of them (2^30 bits are 128 MB).
