@@ -152,53 +152,118 @@ def test_token_counts(spark, docs, sf):
 
 
 def test_lm_scores(spark, sf):
-    real = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "zz yy xx")], "doc_id long, text string"), allowMissingColumns=True)
+    real = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, " zz\tyy xx \n"), (9004, "ab " * 70_000)], "doc_id long, text string"), allowMissingColumns=True)
     rows = real.select("doc_id", "text").collect()
     tokens = {r.doc_id: re.findall("[^\x20\x09-\x0d]+", (r.text or "").translate(LOW)) + [""] for r in rows}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
     c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
-    for vocabulary in (1 << 16, 50):
-        got = {r.doc_id: r for r in lm_score.lm_scores(real, vocabulary=vocabulary).collect()}
+    for chunk in (lm_score.CHUNK, 60_000):
+        got = {r.doc_id: r for r in lm_score.lm_scores(real, chunk=chunk, bucket=5000).collect()}
         assert len(got) == len(tokens)
         for i, ws in tokens.items():
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
             assert r.score < 0 and r.bits_per_byte > 0
-    unseen = [r for r in got.values() if r.held_out and r.n_tokens > 50]
-    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) * 1.5
+    assert got[9004].score > -0.05 * got[9004].n_tokens  # a text that repeats itself is learned while it is read
     assert lm_score.lm_scores(real.where("doc_id < 0")).count() == 0
+    alike = spark.createDataFrame([(k, "the same words again and again here", "x") for k in (1, 1, 2)], "doc_id long, text string, chunk string")
+    assert lm_score.lm_scores(alike).count() == 3
+    assert {r.base_score for r in lm_score.lm_scores(spark.createDataFrame([(20, "only a held out text")], "doc_id long, text string").where("crc32(cast(doc_id as string)) % 10 = 0")).collect()} <= {0.0}
+
+
+def brute_lm(texts, held, model):
+    """log10 probabilities by plain loops; the model gives tables, start weights, spelling and class totals."""
+    L = lm_score
+    docs = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
+    words = Counter(w for i, d in docs.items() if not held[i] for w in d)
+    bits = lambda w: xxhash.xxh3_64_intdigest(w) >> 40
+
+    def contexts(d):
+        padded = [b"", b"", *d]
+        return list(zip(padded, padded[1:], d))
+
+    after = {}
+    for i, d in docs.items():
+        if not held[i]:
+            for u, v, w in contexts(d):
+                after.setdefault((u, v), Counter())[bits(w)] += 1
+    level = lambda n: min(int(n).bit_length(), 7)
+    out = {}
+    for i, d in docs.items():
+        own = Counter() if held[i] else Counter(d)
+        mine = {}
+        if not held[i]:
+            for u, v, w in contexts(d):
+                mine.setdefault((u, v), Counter())[bits(w)] += 1
+        weights, total, sums, last = model.start.astype(float).copy(), 0.0, {}, {}
+        done, near, klasses = [0, 0, 0], [0, 0, 0], [0, 0]
+
+        def decide(y, gate, slots):
+            nonlocal total
+            x = [*(float(t[k]) for t, k in zip(model.tables, slots)), 1.0]
+            p = 1 / (1 + math.exp(-min(14, max(-14, float(weights[gate] @ x)))))
+            total += math.log10(p if y else 1 - p)
+            sums.setdefault(gate, np.zeros(4))
+            sums[gate] += L.RATE * (y - p) * np.array(x)
+
+        for k, (u, v, w) in enumerate(contexts(d)):
+            if k % L.BLOCK == 0:
+                for g, move in sums.items():
+                    weights[g] += move
+                sums = {}
+            seen = words[w] - own[w]
+            klass = int(seen).bit_length()
+            all_of, mine_of = after.get((u, v), Counter()), mine.get((u, v), Counter())
+            most, best = max(((n, b) for b, n in all_of.items()), default=(0, None))
+            others = sum(all_of.values()) - most - (sum(mine_of.values()) - mine_of[best])
+            most -= mine_of[best]
+            j = last.get(v)
+            offered, hit = most > 0, most > 0 and best == bits(w)
+            agrees = j is not None and bits(d[j]) == (best if best is not None else 0)
+            if offered:
+                state = done[0] + 3 * done[1] + 9 * done[2]
+                decide(hit, min(level(most) - 1, 3), [L._SIDE + level(most) * 8 + level(max(others, 0)), L._SIDE + level(most) * 27 + state, L._SIDE + ((j is not None) + agrees) * 64 + klasses[0]])
+            asked = j is not None and not hit and not (offered and agrees)
+            found = asked and d[j] == w
+            if asked:
+                state = near[0] + 3 * near[1] + 9 * near[2]
+                decide(found, 4 + (near[0] == 2), [L._SIDE + 1024 + min((k - j).bit_length(), 15), L._SIDE + 1024 + state * 2 + offered, L._SIDE + 1024 + int(words[d[j]] - own[d[j]]).bit_length()])
+            if not hit and not found:
+                for x in range(model.depth):
+                    node = 1 << x | klass >> model.depth - x
+                    decide(klass >> model.depth - 1 - x & 1, 6 + x, [node, node * 64 + klasses[0], (node * 64 + klasses[0]) * 64 + klasses[1]])
+                if seen:
+                    total += math.log10(seen / max(int(model.totals[klass]), seen))
+                else:
+                    total += sum(float(model.spelling[a * 256 + b]) for a, b in zip([256, *w], [*w, 32]))
+            done, near, klasses = [offered + hit, *done[:2]], [asked + found, *near[:2]], [klass, klasses[0]]
+            last[v] = k
+        out[i] = total
+    return out
 
 
-def test_lm_probabilities_sum_to_one():
-    """One token after a fixed start: the code's paths and the spelled words share out the whole mass."""
-    head = [(b"", 5), (b"a", 4), (b"b", 2), (b"c", 1)]
-    code = lm_score.huffman(head, 3)
-    assert sum(0.5 ** int(x) for x in code.length) == pytest.approx(1.0)
-    rng = np.random.default_rng(0)
-    table = rng.normal(size=lm_score.SLOTS).astype(np.float32)
-    start = np.full((4, 24), 0.5)
-    streams = lm_score.coded(code, [[b"a"], [b"b"], [b"c"], [b""]])[2]
-    known, _ = lm_score.read_units(table, start, streams, 4)
-    escape = slice(code.offset[code.escape], code.offset[code.escape] + code.length[code.escape])
-    slots = [lm_score._slot(code.marks[escape]), *(lm_score._slot(code.marks[escape] + m) for m in (lm_score._mark(np.zeros(1, np.int64), 1), lm_score._mark(np.zeros(1, np.int64), 1) + lm_score._mark(np.zeros(1, np.int64), 2)))]
-    escaped = lm_score.read(table, start.astype(np.float32), code.bits[escape], slots, code.depth[escape])
-    assert sum(10**known) + 10**escaped == pytest.approx(1.0, abs=1e-4)
-    # the spelling: after any byte the eight bits share out the mass over all bytes
-    spelled = 0.0
-    for byte in range(256):
-        ids, first, (path, letters) = lm_score.coded(code, [[bytes([byte]) + b"q"]])
-        spelled += 10 ** lm_score.read(table, start.astype(np.float32), letters.bits[:8], [x[:8] for x in letters.slots], None)
-    assert spelled == pytest.approx(1.0, abs=1e-4)
-
-
-def test_lm_batches_do_not_matter():
-    texts = ["alpha beta gamma " * 50, "beta", None, "delta alpha unknownword " * 9]
-    head = [(b"", 4), (b"alpha", 3), (b"beta", 2)]
-    model = lm_score.Model(lm_score.huffman(head, 2), np.random.default_rng(1).normal(size=lm_score.SLOTS).astype(np.float32), np.full((4, 24), 0.4), 11, 5)
-    together = [r[3] for r in model.score(texts)]
-    assert together == pytest.approx([model.score([t])[0][3] for t in texts], rel=1e-5)
+@pytest.mark.parametrize("chunk", [4000, 3_000_000])
+def test_lm_score_against_loops(spark, sf, tmp_path, chunk):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in rows} | {500: None, 501: "a b a b a b c a b", 502: "a b a b", 503: "Zq zq  zq"}
+    texts |= {600 + k: texts[rows[3].doc_id] for k in range(3)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    ready, sums = lm_score.prepared(docs, str(tmp_path / "lm"), id_col="doc_id", text_col="text", chunk=chunk, bucket=100)
+    model = lm_score.train(ready, sums)
+    got = {}
+    for r in ready.collect():
+        ids, *_, score = lm_score.scores(r.asDict(recursive=True), model)
+        got |= dict(zip(ids, score.tolist()))
+    want = brute_lm(texts, held, model)
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=2e-4, abs=1e-3), i
+    if chunk > 10_000:
+        copies, lone = [got[600 + k] / len((texts[600 + k] or "").split() or [1]) for k in range(3)], np.median([got[i] / (len((t or "").split()) + 1) for i, t in texts.items() if i < 500])
+        assert min(copies) > lone
 
 
 def test_mixing(spark, docs):
