@@ -181,7 +181,8 @@ def _look(values: Mapping[str, int], key: Column) -> Column:
 
 def climate_ordinals(label: Column) -> dict[str, Column]:
     """Three ordinals of a climate label; a label under two letters has none, unknown first or second letters are null, an unknown or absent third is 0."""
-    known = (F.length(label) >= 2) & ~label.isin("NoData", "None")
+    label = F.trim(label)
+    known = (F.length(label) >= 2) & ~label.isin("NoData", "None", "nan")
     return {
         "climate_group": F.when(known, _look(CLIMATE_GROUP, F.substring(label, 1, 1))),
         "climate_moisture": F.when(known, _look(CLIMATE_MOISTURE, F.substring(label, 2, 1))),

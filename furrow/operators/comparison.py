@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
@@ -104,7 +104,8 @@ def false_discovery(rows: DataFrame, *, p: str, by: Sequence[str] = ()) -> DataF
     w = Window.partitionBy(*by).orderBy(p)
     ranked = rows.withColumns({"rank_": F.row_number().over(w), "m_": F.count(F.lit(1)).over(Window.partitionBy(*by))})
     raw = F.col(p) * F.col("m_") / F.col("rank_")
-    return ranked.withColumn("q_value", F.least(F.min(raw).over(w.rowsBetween(0, Window.unboundedFollowing)), d(1))).drop("rank_", "m_")
+    down = Window.partitionBy(*by).orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum
+    return ranked.withColumn("q_value", F.least(F.min(raw).over(down), d(1))).drop("rank_", "m_")
 
 
 def earliest_useful(runs: DataFrame, by: Sequence[str], *, origin: str = "origin", auc: str = "auc", least: float = 0.7) -> DataFrame:
@@ -113,13 +114,28 @@ def earliest_useful(runs: DataFrame, by: Sequence[str], *, origin: str = "origin
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], stamp: str = "timestamp") -> DataFrame:
-    """One row per key (compared as text) over both tables.
+    """One row per key (compared as text) over both tables, with the columns of both.
 
-    The newer stamp's row replaces the older; rows of one stamp merge, non-null values of ``new`` first.
+    A new row of the old row's stamp (null equals null) is merged into it, its non-null values first; one of
+    any other stamp, older ones too, replaces the row. Within one table the latest stamp of a key counts, null
+    the least, and its rows are merged.
     """
-    both = old.withColumn("new_", F.lit(0)).unionByName(new.withColumn("new_", F.lit(1)), allowMissingColumns=True)
-    names = [x for x in both.columns if x not in (*keys, "new_")]
-    as_text = [F.col(k).cast("string") for k in keys]
-    rows = both.withColumn("last_", F.max(stamp).over(Window.partitionBy(*as_text)) ).where(F.col(stamp) == F.col("last_"))
-    value = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.col("new_")))
-    return rows.groupBy(*[k.alias(n) for k, n in zip(as_text, keys)]).agg(*[value(x).alias(x) for x in names]).select(*[F.col(k).cast(both.schema[k].dataType).alias(k) for k in keys], *names)
+    names = [x for x in dict.fromkeys([*old.columns, *new.columns]) if x not in keys]
+    as_text = {k: F.col(k).cast("string") for k in keys}
+
+    def latest(df: DataFrame, tag: str) -> DataFrame:
+        top = F.max(stamp).over(Window.partitionBy(*as_text.values()))
+        rows = df.withColumn("last_", top).where(F.col(stamp).eqNullSafe(F.col("last_")))
+        return rows.groupBy(*[v.alias(f"key_{k}") for k, v in as_text.items()]).agg(*[F.first(k).alias(f"{tag}_{k}") for k in keys], *[F.max(x).alias(f"{tag}_{x}") for x in names if x in df.columns], F.lit(True).alias(f"in_{tag}"))
+
+    a, b = latest(old, "old"), latest(new, "new")
+    on = [F.col(f"o.key_{k}").eqNullSafe(F.col(f"n.key_{k}")) for k in keys]
+    both = a.alias("o").join(b.alias("n"), on, "full")
+    same = F.col(f"old_{stamp}").eqNullSafe(F.col(f"new_{stamp}"))
+
+    def value(x: str) -> Column:
+        mine = F.col(f"old_{x}") if x in old.columns else F.lit(None)
+        fresh = F.col(f"new_{x}") if x in new.columns else F.lit(None)
+        return F.when(F.col("in_new").isNull(), mine).when(F.col("in_old").isNotNull() & same, F.coalesce(fresh, mine)).otherwise(fresh).alias(x)
+
+    return both.select(*[F.coalesce(f"new_{k}", f"old_{k}").alias(k) for k in keys], *[value(x) for x in names])

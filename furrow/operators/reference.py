@@ -16,6 +16,7 @@ LEVELS = (0.1, 0.5, 0.9)
 def coefficients(train: DataFrame, *, region: str = "region", year: str = "year", y: str = "y") -> DataFrame:
     """(region, climatology, rolling3, slope, intercept, sigma): sigma null where a region has too few rows."""
     newest = F.row_number().over(Window.partitionBy(region).orderBy(F.desc(year)))
+    train = train.where(F.col(y).isNotNull())  # a missing value takes no place among the newest
     rows = train.withColumn("newest", newest)
     long = F.count(y) >= MIN_TREND_YEARS
     slope = F.coalesce(F.when(long, F.regr_slope(y, year)), d(0))

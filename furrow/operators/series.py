@@ -31,13 +31,18 @@ def reindex(df: DataFrame, days: DataFrame, keys: Sequence[str], day: str) -> Da
     return days.join(df, [*keys, day], "left")
 
 
+def _back(keys: Sequence[str], day: str):
+    """From the end to the row: a running frame, where one from the row to the end would be quadratic."""
+    return Window.partitionBy(*keys).orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def interpolate(df: DataFrame, keys: Sequence[str], day: str, value: str, out: str | None = None) -> DataFrame:
     """Linear gap filling by position; ends take the nearest value."""
     w = Window.partitionBy(*keys).orderBy(day)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), _back(keys, day)
     at = df.withColumn("pos_", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("pos_").alias("p"), F.col(value).alias("v")))
-    at = at.withColumns({"a_": F.last(known, True).over(before), "b_": F.first(known, True).over(after)})
+    at = at.withColumns({"a_": F.last(known, True).over(before), "b_": F.last(known, True).over(after)})
     a, b = F.col("a_"), F.col("b_")
     between = a["v"] + (b["v"] - a["v"]) * (F.col("pos_") - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0)).cast("double")
     return at.withColumn(out or value, F.coalesce(F.col(value), between, a["v"], b["v"])).drop("pos_", "a_", "b_")
@@ -46,7 +51,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], day: str, value: str, out: s
 def fill(df: DataFrame, keys: Sequence[str], day: str, value: str, out: str | None = None) -> DataFrame:
     """The last value before, else the first after."""
     w = Window.partitionBy(*keys).orderBy(day)
-    return df.withColumn(out or value, F.coalesce(F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    return df.withColumn(out or value, F.coalesce(F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(value, True).over(_back(keys, day))))
 
 
 def clean_sensor(df: DataFrame, keys: Sequence[str], value: str, valid: tuple[float, float], clip: tuple[float, float], percent_above: float | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
-from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits
+from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
 from furrow.sources import tables
 from furrow.streaming import events
 
@@ -230,9 +230,9 @@ def conformalized_band(spark, sf_dir):
     return rounded(evaluation.conformalize(f.where("year >= 2000"), evaluation.conformal_margin(f.where("year = 1999"))).select("region", "year", "q10_conf", "q90_conf"))
 
 
-@query(f"WITH {REF}, e AS (SELECT *, anom_true < -0.5::DOUBLE * ref_sigma AS event, rank() OVER (ORDER BY round(-anom_pred, 9)) + (count(*) OVER (PARTITION BY round(-anom_pred, 9)) - 1) / 2.0 AS rk FROM anom) SELECT count(*) FILTER (WHERE event) AS n_events, count(*) AS n, {R('(sum(rk) FILTER (WHERE event) - count(*) FILTER (WHERE event) * (count(*) FILTER (WHERE event) + 1) / 2.0) / (count(*) FILTER (WHERE event) * count(*) FILTER (WHERE NOT event))', 'auc')} FROM e")
+@query(f"WITH {REF}, e AS (SELECT *, anom_true < -0.5::DOUBLE * ref_sigma AS event, rank() OVER (ORDER BY round(-anom_pred / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9)) + (count(*) OVER (PARTITION BY round(-anom_pred / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9)) - 1) / 2.0 AS rk FROM anom) SELECT count(*) FILTER (WHERE event) AS n_events, count(*) AS n, {R('(sum(rk) FILTER (WHERE event) - count(*) FILTER (WHERE event) * (count(*) FILTER (WHERE event) + 1) / 2.0) / (count(*) FILTER (WHERE event) * count(*) FILTER (WHERE NOT event))', 'auc')} FROM e")
 def badyear_auc_midrank(spark, sf_dir):
-    f = with_anomalies(spark, sf_dir).select((F.col("anom_true") < -d(0.5) * F.col("ref_sigma")).alias("event"), F.round(-F.col("anom_pred"), 9).alias("score"))
+    f = with_anomalies(spark, sf_dir).select((F.col("anom_true") < -d(0.5) * F.col("ref_sigma")).alias("event"), F.round(-F.col("anom_pred") / F.when(F.col("ref_sigma") > 0, F.col("ref_sigma")).otherwise(d(1)), 9).alias("score"))
     return rounded(evaluation.auc(f, score="score", event="event"))
 
 
@@ -660,3 +660,115 @@ def geojson_points(spark, sf_dir):
     key = F.col("n_nationkey").cast("long")
     rows = table(spark, sf_dir, "nation").select((key * 7 % 180 - 90).cast("double").alias("longitude"), (key * 3 % 90).cast("double").alias("latitude"), F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region"), F.when(key % 5 != 0, key).alias("code"))
     return tables.geojson_features(rows, ["nation", "region"], label="code")
+
+
+# --- tiers, drivers, folds
+
+_GATE = """gr AS (SELECT region, year AS x, y AS v, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS back FROM panel WHERE year <= 1999),
+gw AS (SELECT region, x, v, k AS length FROM gr, range(5, 11) AS t(k) WHERE back <= k AND back <= 10),
+gn AS (SELECT region, length, count(*) AS n, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept FROM gw GROUP BY ALL HAVING count(*) = length),
+gs AS (SELECT a.region, a.length, sum(sign(b.v - a.v)) AS s FROM gw a JOIN gw b ON a.region = b.region AND a.length = b.length AND a.x < b.x GROUP BY ALL),
+gz AS (SELECT region, length, slope, intercept, round((s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0::DOUBLE), 9) AS z FROM gn JOIN gs USING (region, length)),
+gb AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY abs(z) DESC, length) AS o FROM gz WHERE abs(z) > 0.5),
+four AS (SELECT r.*, coalesce(gb.intercept + gb.slope * r.year, r.ref_climatology) AS ref_gated FROM ref r LEFT JOIN gb ON gb.region = r.region AND gb.o = 1)"""
+_FOUR = {"trend": "ref_gated", "ols": "ref_trend", "climatology": "ref_climatology", "rolling3": "ref_rolling3"}
+
+
+def with_four_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test years with all four references; the gate is at |z| > 0.5, as in ``gated_trend``."""
+    rows, p = referenced(spark, sf_dir), panel(spark, sf_dir).where("year <= 1999")
+    return rows.join(reference.gated_trend(rows, p, z_limit=0.5).withColumnRenamed("trend", "ref_gated"), ["region", "year"])
+
+
+@query(f"WITH {REF}, {_GATE} SELECT {_POINT}, " + ", ".join(
+    f"{R(e.format(col), f'{n}_ref_{k}')}, {R('1 - ' + e.format('y_pred') + ' / ' + e.format(col), f'skill_{n}_vs_{k}')}" for k, col in _FOUR.items() for n, e in (("rmse", "sqrt(avg((y - {0}) ** 2))"), ("mae", "avg(abs(y - {0}))"))
+) + ", " + ", ".join(R(f"avg(CASE WHEN abs(y - y_pred) / greatest(abs(y), 1e-8) <= {s} THEN 1.0 ELSE 0.0 END)", f"within_{round(100 * s)}pct") for s in (0.01, 0.05, 0.1, 0.2)) + ", " + ", ".join(R(f"avg(CASE WHEN abs(y - y_pred) <= {s} THEN 1.0 ELSE 0.0 END)", n) for s, n in ((0.1, "within_abs_0_1"), (0.5, "within_abs_0_5"))) + " FROM four")
+def accuracy_tier(spark, sf_dir):
+    return rounded(tiers.accuracy(with_four_references(spark, sf_dir), _FOUR))
+
+
+_REFQ = "(ref_trend + zq[{0}] * ref_sigma)"
+
+
+@query(f"WITH {REF} SELECT {_QUANT.replace('pinball_q10', 'pinball_q10')}, 0.8::DOUBLE AS picp_nominal, "
+       f"{R('avg(2 * (' + ' + '.join(_PIN(_REFQ.format(k), t) for k, (_, t) in enumerate(_QS, 1)) + ') / 3)', 'crps_ref_ols')}, "
+       f"{R('1 - avg(2 * (' + ' + '.join(_PIN(q, t) for q, t in _QS) + ') / 3) / avg(2 * (' + ' + '.join(_PIN(_REFQ.format(k), t) for k, (_, t) in enumerate(_QS, 1)) + ') / 3)', 'skill_crps_vs_ols')}, "
+       f"{R(f'avg(CASE WHEN y BETWEEN {_REFQ.format(1)} AND {_REFQ.format(3)} THEN 1.0 ELSE 0.0 END)', 'picp_ref_ols')}, {R(f'avg({_REFQ.format(3)} - {_REFQ.format(1)})', 'width_ref_ols')} FROM ref")
+def uncertainty_tier(spark, sf_dir):
+    levels = {t: q for q, t in _QS}
+    return rounded(tiers.uncertainty(referenced(spark, sf_dir), levels, {"ols": {t: f"ref_{q}" for t, q in levels.items()}}))
+
+
+@query(f"""WITH {REF}, l AS (SELECT k, anom_true < -k * ref_sigma AS e, anom_pred < -k * ref_sigma AS a, round(-anom_pred / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9) AS s1, round(-(q10 - ref_trend) / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9) AS s2 FROM anom, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) AS t(k)),
+m AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY s1) + (count(*) OVER (PARTITION BY k, s1) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY k ORDER BY s2) + (count(*) OVER (PARTITION BY k, s2) - 1) / 2.0 AS r2 FROM l),
+t AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE e) AS e, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE e AND a) AS h, sum(r1) FILTER (WHERE e) AS r1, sum(r2) FILTER (WHERE e) AS r2 FROM m GROUP BY k)
+SELECT k, n, {R('e / n', 'base_rate')}, {R('CASE WHEN e > 0 AND e < n THEN coalesce(h / nullif(a, 0), 0) END', 'precision')}, {R('CASE WHEN e > 0 AND e < n THEN h / e END', 'recall')}, {R('CASE WHEN e > 0 AND e < n THEN coalesce(2 * h / nullif(a + e, 0), 0) END', 'f1')},
+  {R('(r1 - e * (e + 1) / 2.0) / nullif(e * (n - e), 0)', 'auc')}, {R('(r2 - e * (e + 1) / 2.0) / nullif(e * (n - e), 0)', 'auc_low')} FROM t""")
+def operational_tier(spark, sf_dir):
+    return rounded(tiers.operational(with_anomalies(spark, sf_dir).withColumn("anom_low", F.col("q10") - F.col("ref_trend"))))
+
+
+@query(f"WITH {REF}, x AS (SELECT *, anom_true < -ref_sigma AS low FROM anom), s AS (SELECT * FROM x WHERE low) SELECT {R('(SELECT avg(CAST(low AS INTEGER)) FROM x)', 'base_rate')}, count(*) AS n, {R('sqrt(avg((y - y_pred) ** 2))', 'rmse')}, {R('1 - sqrt(avg((y - y_pred) ** 2)) / sqrt(avg((y - ref_trend) ** 2))', 'skill_rmse')}, {R('CASE WHEN count(*) >= 3 THEN corr(anom_true, anom_pred) END', 'r_an')}, {R('stddev_pop(anom_pred) / nullif(stddev_pop(anom_true), 0)', 'spread_ratio')} FROM s")
+def extreme_stratum(spark, sf_dir):
+    return rounded(tiers.extreme(with_anomalies(spark, sf_dir)))
+
+
+_DRIVERS = DAILY + """, se AS (SELECT region, CAST(year(day) AS INTEGER) AS year, sum(prec) AS prec, avg(tmax) AS tmax FROM daily GROUP BY 1, 2),
+en AS (SELECT region, quantile_cont(prec, 0.1) AS p10, quantile_cont(CAST(tmax AS DOUBLE), 0.9) AS p90 FROM se WHERE year <= 1996 GROUP BY region),
+fl AS (SELECT se.*, CAST(prec <= p10 OR tmax >= p90 AS INTEGER) AS driver_extreme FROM se LEFT JOIN en USING (region))"""
+
+
+def _driver_flags(spark, sf_dir):
+    seasons = by_season(spark, sf_dir).groupBy("region", "year").agg(F.sum("prec").alias("prec"), F.avg("tmax").cast("double").alias("tmax"))
+    return tiers.driver_flags(seasons, seasons.where("year <= 1996"))
+
+
+@query(f"WITH {_DRIVERS} SELECT region, year, {R('prec', 'prec')}, {R('CAST(tmax AS DOUBLE)', 'tmax')}, driver_extreme FROM fl")
+def driver_extremes(spark, sf_dir):
+    return rounded(_driver_flags(spark, sf_dir))
+
+
+@query(f"WITH {PANEL}, {_DRIVERS}, j AS (SELECT driver_extreme = 1 AS a, y < avg(y) OVER (PARTITION BY p.region) AS b FROM panel p JOIN fl ON p.region = fl.region AND p.year = fl.year) SELECT count(*) AS n, {R('count(*) FILTER (WHERE a AND b) / count(*) FILTER (WHERE a OR b)', 'agreement')} FROM j")
+def driver_label_agreement(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = panel(spark, sf_dir).join(_driver_flags(spark, sf_dir), ["region", "year"])
+    rows = rows.select((F.col("driver_extreme") == 1).alias("a"), (F.col("y") < F.avg("y").over(Window.partitionBy("region"))).alias("b"))
+    return rounded(rows.agg(F.count("*").alias("n"), tiers.jaccard(F.col("a"), F.col("b")).alias("agreement")))
+
+
+@query(f"""WITH {FRAME}, {_FOLDS}, f AS (SELECT fold, year, sqrt(avg((y - y_pred) ** 2)) AS rmse FROM frame JOIN folds ON year > train_end GROUP BY 1, 2),
+m AS (SELECT year, count(*) AS folds, avg(rmse) AS a, stddev_pop(rmse) AS p, stddev_samp(rmse) AS s FROM f GROUP BY year)
+SELECT year, folds, {R('a', 'rmse_mean')}, {R('p', 'rmse_std_pop')}, {R('s', 'rmse_std_samp')} FROM m UNION ALL SELECT NULL, CAST(sum(folds) AS BIGINT), {R('avg(a)', 'rmse_mean')}, NULL, NULL FROM m""")
+def walk_forward_aggregate(spark, sf_dir):
+    f = frame(spark, sf_dir)
+    scored = splits.later_rows(splits.walk_forward(panel(spark, sf_dir), folds=3), f).groupBy("fold", "year").agg(c.rmse(*_y()).alias("rmse"))
+    return rounded(tiers.over_folds(scored, ["rmse"]))
+
+
+_LEADS = (("end", 0), ("quarter", 1), ("middle", 2), ("three-quarter", 3))
+
+
+@query(f"WITH {DAILY}, s AS (SELECT region, CAST(year(day) AS INTEGER) AS year, max(day) AS eos, date_diff('day', min(day), max(day)) AS length FROM daily GROUP BY 1, 2) SELECT region, year, " + ", ".join(f"eos - CAST(length * {k} // 4 AS INTEGER) AS \"{n.replace('-', '_')}_cutoff\"" for n, k in _LEADS) + ", eos - 30 AS days_30_cutoff FROM s")
+def season_cutoffs(spark, sf_dir):
+    s = by_season(spark, sf_dir).groupBy("region", "year").agg(F.max("day").alias("eos"), F.datediff(F.max("day"), F.min("day")).alias("length"))
+    at = lambda lead: F.date_sub("eos", tiers.cutoff_days(lead, F.col("length")))
+    return s.select("region", "year", *[at(n).alias(f"{n.replace('-', '_')}_cutoff") for n, _ in _LEADS], at("30-days").alias("days_30_cutoff"))
+
+
+@query(f"WITH {FRAME} SELECT region, year, {R('y_pred - y', 'error')}, {R('abs(y_pred - y)', 'abs_error')}, {R('100 * (y_pred - y) / nullif(y, 0)', 'pct_error')} FROM frame")
+def prediction_errors(spark, sf_dir):
+    return rounded(tiers.errors(frame(spark, sf_dir)).select("region", "year", "error", "abs_error", "pct_error"))
+
+
+_LATEST = """SELECT o_custkey, max(t) AS "timestamp", arg_max(price, t) AS price FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS t, {0}(o_totalprice) AS price FROM orders WHERE {1} GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(f"""WITH o AS ({_LATEST.format('max', "o_orderdate < DATE '1997-01-01'")}), n AS ({_LATEST.format('min', "o_orderdate < DATE '1996-01-01' AND o_custkey % 2 = 0")})
+SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey, coalesce(n."timestamp", o."timestamp") AS "timestamp", coalesce(n.price, o.price) AS price FROM o FULL JOIN n ON o.o_custkey = n.o_custkey""")
+def upsert_latest(spark, sf_dir):
+    """Rows of even customers, often with older stamps, put over the rows of all."""
+    rows = table(spark, sf_dir, "orders").withColumn("timestamp", F.year("o_orderdate"))
+    old = rows.where("o_orderdate < DATE '1997-01-01'").groupBy("o_custkey", "timestamp").agg(F.max("o_totalprice").alias("price"))
+    new = rows.where("o_orderdate < DATE '1996-01-01' AND o_custkey % 2 = 0").groupBy("o_custkey", "timestamp").agg(F.min("o_totalprice").alias("price"))
+    return comparison.upsert(old, new, ["o_custkey"])

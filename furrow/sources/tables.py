@@ -47,19 +47,14 @@ def new_keys_only(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], stamp: str = "timestamp") -> str:
-    """Upsert into a Parquet table; the merged table is a new version folder, whose path is returned.
+def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], stamp: str = "timestamp", *, published: str | None = None) -> str:
+    """Upsert into a Parquet table; the merged table is a new version folder under ``path``, whose path is returned.
 
-    Runs never overwrite what others read; the caller publishes the version it wants.
+    ``published`` is the version folder that counts now (none: the table is new). Runs never overwrite what
+    others read, and superseded versions are never read again; the caller publishes the version it wants.
     """
     target = f"{path}/v-{uuid.uuid4().hex}"
-    versions = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true")
-    try:
-        old = versions.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
+    old = spark.read.parquet(published) if published else new.limit(0)
     upsert(old, new, keys, stamp).write.parquet(target)
     return target
 

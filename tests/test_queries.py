@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
-from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits
+from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
 from furrow.plans import registry
 from furrow.sources import tables
 from furrow.streaming import events
@@ -121,6 +121,28 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == want == sorted(map(tuple, comparison.upsert(once, new, ["k", "g"]).collect()))
 
 
+def test_upsert_stamps_and_columns(spark):
+    old = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (3, 7, "c")], "k int, timestamp int, v string")
+    new = spark.createDataFrame([(1, 4, "older", 1), (2, None, None, 2), (4, None, "new", 3)], "k int, timestamp int, v string, more int")
+    got = comparison.upsert(old, new, ["k"])
+    assert got.columns == ["k", "timestamp", "v", "more"]
+    assert sorted(map(tuple, got.collect())) == [(1, 4, "older", 1), (2, None, "b", 2), (3, 7, "c", None), (4, None, "new", 3)]
+
+
+def test_references_leave_missing_values_out(spark):
+    rows = [("a", 2000 + k, float(k)) for k in range(6)] + [("a", 2006, None), ("a", 2007, None)]
+    got = reference.coefficients(spark.createDataFrame(rows, "region string, year int, y double")).first()
+    assert got.rolling3 == 4.0
+
+
+def test_cutoffs_and_labels(spark):
+    df = spark.range(1).select(F.lit(101).alias("n"), F.lit(" Cfa ").alias("l"), F.lit("nan").alias("m"))
+    got = df.select(*[tiers.cutoff_days(x, F.col("n"), swapped=s).alias(f"c{i}") for i, (x, s) in enumerate((("end", False), ("quarter", False), ("three-quarter", False), ("three-quarter", True), ("45-days", False)))]).first()
+    assert tuple(got) == (0, 25, 75, 25, 45)
+    labels = df.select(c.climate_ordinals(F.col("l"))["climate_group"].alias("a"), c.climate_ordinals(F.col("m"))["climate_heat"].alias("b")).first()
+    assert tuple(labels) == (3, None)
+
+
 def test_contract(spark, tmp_path):
     raw = spark.createDataFrame([("1", "20200101"), ("x", "20200102"), (None, "bad"), ("500", "2020-01-03")], "v string, t string")
     rule = contract.numeric_rules(raw, {"v": (2.0, 100.0)}).first()
@@ -139,9 +161,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "years.json").write_text('{"maize": {"AA": [1,2,3,4,5,6,7,8], "EE": []}}')
     assert [(r.country, len(r.years)) for r in tables.year_index(spark, str(tmp_path / "years.json")).collect()] == [("AA", 8)]
     store, rows = str(tmp_path / "store"), spark.createDataFrame([(1, 1, 2.0)], "k int, timestamp int, v double")
-    tables.merge_into(spark, store, rows, ["k"])
-    again = spark.read.parquet(tables.merge_into(spark, store, rows.withColumn("v", F.lit(5.0)), ["k"]))
-    assert [tuple(r) for r in again.collect()] == [(1, 1, 5.0)]
+    first = tables.merge_into(spark, store, rows, ["k"])
+    second = tables.merge_into(spark, store, rows.withColumn("v", F.lit(5.0)), ["k"], published=first)
+    assert [tuple(r) for r in spark.read.parquet(second).collect()] == [(1, 1, 5.0)]
+    third = tables.merge_into(spark, store, rows.withColumn("v", F.lit(None).cast("double")), ["k"], published=second)
+    assert [tuple(r) for r in spark.read.parquet(third).collect()] == [(1, 1, 5.0)]  # no older version comes back
 
 
 def test_stream_equals_batch(spark, tmp_path):
