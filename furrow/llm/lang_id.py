@@ -8,7 +8,8 @@ languages; a fifth of the sample is kept apart and sets the temperature of the s
 
 Defined results: a null text or one without any letter is ``und`` with score 0, as is every text when
 no labelled document exists; documents without a label or id text take no part in training when their
-label is null (a null id counts as the empty text); ties go to the alphabetically first language.
+label is null (a null id counts as the empty text); repeated rows are counted and predicted each; a long text
+is counted piece by piece; ties go to the alphabetically first language.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SAMPLE = 3200
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 FOLDS = 5
-LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 18
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -72,13 +73,18 @@ class Model:
         return weigh(counts, self.idf[used]) @ self.weights[used]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(*count_features(text)) / self.temperature)
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a letter is there; superscripts, fractions and letter-like numerals aren't letters."""
+    return any(any(map(str.isalpha, m.group())) for m in _WORDLIKE.finditer(text))
+
+
 def softmax(v: np.ndarray) -> np.ndarray:
     e = np.exp(v - v.max())
     return e / e.sum()

@@ -92,13 +92,14 @@ OP5_SQL = f"""
 WITH RECURSIVE s AS (SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS size FROM documents GROUP BY source),
 w AS (SELECT sum(size) AS whole, sum(pow(CAST(size AS DOUBLE), {mixing.POWER})) AS shares FROM s),
 r AS (SELECT source, pow(CAST(size AS DOUBLE), {mixing.POWER}) / shares * CAST(whole AS DOUBLE) / size AS rate FROM s, w),
-q AS (SELECT source, floor(greatest(rate - {mixing.MAX_RATE}, 0)) AS whole_part, rate - floor(greatest(rate - {mixing.MAX_RATE}, 0)) AS m FROM r),
+q AS (SELECT source, CAST(greatest(ceil(rate / {mixing.MAX_RATE}), 1) AS BIGINT) AS parts, rate / greatest(ceil(rate / {mixing.MAX_RATE}), 1) AS m FROM r),
 cdf AS (
-  SELECT source, whole_part, m, 0 AS k, exp(-m) AS p, exp(-m) AS c FROM q
-  UNION ALL SELECT source, whole_part, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM cdf WHERE k < {mixing.TERMS - 1}),
-u AS (SELECT *, CAST(CAST('0x' || substr(md5('{mixing.SEED}|' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}.0 AS u FROM documents),
+  SELECT source, m, 0 AS k, exp(-m) AS p, exp(-m) AS c FROM q
+  UNION ALL SELECT source, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM cdf WHERE k < {mixing.TERMS - 1}),
+d AS (SELECT doc_id, q.source, unnest(range(0, parts)) AS part FROM documents t JOIN q ON t.source IS NOT DISTINCT FROM q.source),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('{mixing.SEED}|' || doc_id || CASE WHEN part > 0 THEN '|#' || part ELSE '' END), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}.0 AS u FROM d),
 n AS (
-  SELECT u.doc_id, any_value(cdf.whole_part) + count(*) FILTER (WHERE cdf.c <= u.u) AS n
+  SELECT u.doc_id, count(*) FILTER (WHERE cdf.c <= u.u) AS n
   FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY u.doc_id),
 e AS (SELECT doc_id, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM n)
 SELECT d.*, CAST(e.copy AS INTEGER) AS copy, md5('{mixing.SEED}|' || d.doc_id || '|' || e.copy) AS mix_key FROM documents d JOIN e USING (doc_id)

@@ -273,15 +273,22 @@ def test_mixing(spark, docs):
     n = Counter(r.doc_id for r in out.collect())
     for i in range(len(TEXTS)):
         lam = rates[["a", "a", "b", None][i % 4]]
-        fixed = math.floor(lam - 16) if lam > 16 else 0
-        u = int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
-        p = c = math.exp(-(lam - fixed))
-        k = 0
-        while c <= u and k < 64:
-            k += 1
-            p *= (lam - fixed) / k
-            c += p
-        assert n[i] == k + fixed
+        parts, total = max(1, math.ceil(lam / 16)), 0
+        for part in range(parts):
+            u = int(hashlib.md5(f"mix-1|{i}{f'|#{part}' if part else ''}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p = c = math.exp(-lam / parts)
+            k = 0
+            while c <= u and k < 64:
+                k += 1
+                p *= lam / parts / k
+                c += p
+            total += k
+        assert n[i] == total
+    high = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") < 2000, "few").otherwise("many").alias("source"), F.lit(1).alias("copy"), F.lit("k").alias("mix_key"))
+    drawn = mixing.mix(high, targets={"few": 1.0}, scale=20.0)  # a rate of 40
+    assert drawn.columns == [*high.columns, "copy_", "mix_key_"]
+    counts = np.array([r["count"] for r in drawn.groupBy("doc_id").count().collect()])
+    assert abs(counts.mean() - 40) < 1 and abs(counts.var() - 40) < 6
     assert mixing.mix(empty(docs)).count() == 0
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"))
     got = {r.source: r["count"] for r in mixing.mix(big, targets={"rare": 0.5, "hot": 0.5, "none": 3.0}).groupBy("source").count().collect()}
@@ -398,6 +405,7 @@ def test_language_id(spark, docs):
     assert all(got[i].held_out == (i in set(held)) for i in truth)
     assert np.mean([got[i].lang_pred == truth[i][0] for i in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert not any(map(lang_id.has_letter, ("", "²½", "Ⅷ 12", "_ -"))) and lang_id.has_letter("²½é")
     small = {r.doc_id: r for r in lang_id.predictions(docs).collect()}
     assert small[0].lang_pred == "und" and small[19].lang_pred == "und" and small[3].lang_pred in ("en", "fr")
     assert {r.lang_pred for r in lang_id.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
