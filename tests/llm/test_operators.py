@@ -336,40 +336,52 @@ def test_packing():
     rng = np.random.default_rng(3)
     for n in (0, 1, 7, 8, 9, 500, 4000):
         sizes = sorted((int(x) for x in rng.pareto(1.5, n) * 100 + 1), reverse=True)
-        bins = sharding.pack(sizes, 8)
-        loads = np.bincount(bins, sizes, minlength=8) if n else np.zeros(8)
-        assert len(bins) == n and loads.sum() == sum(sizes)
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        runs = sharding.pack(classes, 8)
+        loads = [0] * 8
+        for k, b, count in runs:
+            loads[b] += classes[k][0] * count
+        assert sum(count for _, _, count in runs) == n and sum(loads) == sum(sizes)
         if n >= 500:
-            assert loads.max() <= max(sizes[0], 1.01 * sum(sizes) / 8 + 5)
-    # against a plain search for the tightest bin
-    sizes, capacity = sorted((int(x) for x in rng.integers(1, 60, 200)), reverse=True), 100
-    left, want = [], []
-    for s in sizes:
-        fits = [(r, k) for k, r in enumerate(left) if r >= s]
-        k = min(fits)[1] if fits else len(left)
-        left += [capacity] * (not fits)
-        left[k] -= s
-        want.append(k)
-    assert sharding.best_fit(sizes, capacity) == want
+            assert max(loads) <= max(sizes[0], 1.01 * sum(sizes) / 8 + 5)
+    # against a plain search for the tightest bin, item by item
+    for top, capacity in ((60, 100), (9, 40), (3, 1000), (2000, 4000)):
+        sizes = sorted((int(x) for x in rng.integers(1, top, 300)), reverse=True)
+        left, want = [], []
+        for s in sizes:
+            fits = [(r, k) for k, r in enumerate(left) if r >= s]
+            k = min(fits)[1] if fits else len(left)
+            left += [capacity] * (not fits)
+            left[k] -= s
+            want.append(k)
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        assert [b for _, b, count in sharding.best_fit(classes, capacity) for _ in range(count)] == want
+        assert sharding.best_fit(classes, capacity, len(left) - 1) is None
 
 
 def test_sharding(spark, docs, sf):
+    """Whole results against a packing of every group by itself: the load of each shard and its groups' sizes."""
     real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    for table, parts in ((docs, 4), (real, 16384), (real, 64)):
+    alike = spark.createDataFrame([(k, f"{k:05d}"[:5] if k % 3 else "same") for k in range(900)], "doc_id long, text string")
+    for table, options in ((docs, {"hot_share": 4}), (real, {}), (real, {"block_rows": 7, "broadcast_sizes": 3, "hot_share": 64}), (alike, {"block_rows": 50, "hot_share": 4})):
         texts = {r.doc_id: r.text for r in table.collect()}
-        got = sharding.shard(table, parts=parts, hot_share=parts).collect()
+        got = sharding.shard(table, **options).collect()
         assert sorted(r.doc_id for r in got) == sorted(texts)
-        by_text, slots, loads = {}, {}, Counter()
+        by_text, slots, loads, groups = {}, {}, Counter(), Counter()
         for r in got:
             t = texts[r.doc_id]
             assert (r.size, r.text_crc32) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
             by_text.setdefault(t or "", set()).add(r.shard)
             slots.setdefault(r.shard, []).append(r.slot)
             loads[r.shard] += r.size
+            groups[t or ""] += r.size
         assert all(len(x) == 1 for x in by_text.values()) and set(slots) <= set(range(8))
         assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-        if table is real and parts > 64:
-            assert max(loads.values()) < 1.05 * sum(loads.values()) / 8
+        classes = sorted(Counter(groups.values()).items(), reverse=True)
+        want = Counter((b, classes[k][0]) for k, b, count in sharding.pack(classes, 8) for _ in range(count))
+        assert Counter((next(iter(by_text[t])), size) for t, size in groups.items()) == want
+        if table is real:
+            assert max(loads.values()) < 1.01 * sum(loads.values()) / 8
     assert sharding.shard(empty(docs)).count() == 0
 
 
