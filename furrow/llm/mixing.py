@@ -4,7 +4,8 @@ A source's mean repetition rate is its target share over its actual share. Each
 uniform number from a hash of its id and the seed, and its count is the inverse of the Poisson
 distribution function there: the number of cumulative probabilities that lie at or below it (for a high rate
 the sum of several such draws). Documents
-are exploded by their count and shuffled globally by a range partitioning on a hash of id and copy.
+are exploded by their count and shuffled globally: dealt and sorted by a hash of id and copy (dealt by the
+hash, not by ranges of it, as these would be sampled by a scan of their own).
 
 Defined results: size is the text's UTF-8 bytes plus one, so empty and null texts weigh something; a null
 source is a source of its own; equal ids draw equal counts; a target that names a source without
@@ -80,4 +81,4 @@ def mix(
     counted = docs.join(table, F.col(source_col).eqNullSafe(F.col(src))).withColumn(n, drawn).where(F.col(n) > 0)
     copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy_col))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col).cast("string")))
-    return copies.withColumn(key_col, key).repartitionByRange(key_col).sortWithinPartitions(key_col)
+    return copies.withColumn(key_col, key).repartition(key_col).sortWithinPartitions(key_col)
