@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, let, words
 
 WINDOW = 10
-#: Most n-grams that are broadcast (about 150 bytes each); more are joined by a shuffle.
-BROADCAST_GRAMS = 1_000_000
-MIN_BITS, MAX_BITS = 1 << 12, 1 << 21
+#: Most bytes of n-grams and their item ids that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 200_000_000
+#: Least and most bits of the bit set (2^24 bits are 2 MB); each n-gram has 64 of them and sets two, up to some 260,000
+#: n-grams. Beyond that more positions are candidates (a sixteenth at four million n-grams); the join still decides.
+MIN_BITS, MAX_BITS = 1 << 12, 1 << 24
 
 
 def benchmark_grams(benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -32,14 +34,19 @@ def benchmark_grams(benchmark: DataFrame, *, text_col: str = "text", item_col: s
     return windows.groupBy(F.concat_ws(" ", "g").alias("gram")).agg(F.first(F.size("g")).alias("len"), F.collect_set("item").alias("items"))
 
 
+def _two(h: Column) -> tuple[Column, Column]:
+    """Two hashes of one: its lower and its upper half."""
+    return h, F.shiftrightunsigned(h, 32)
+
+
 def _gram_bits(grams: DataFrame, n_grams: int) -> tuple[int, Column]:
     """The number of bits and the bit set (64 bits an element) as a constant of bounded size."""
     bits = MIN_BITS
     while bits < min(MAX_BITS, 64 * n_grams):
         bits *= 2
-    slot = F.xxhash64(F.split("gram", " ")).bitwiseAND(F.lit(bits - 1))
+    h = F.xxhash64(F.split("gram", " "))
     rows = (
-        grams.select(slot.alias("s"))
+        grams.select(F.explode(F.array(*[x.bitwiseAND(F.lit(bits - 1)) for x in _two(h)])).alias("s"))
         .groupBy(F.shiftright("s", 6).alias("k"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v"))
         .collect()  # bits / 64 rows at most
@@ -52,18 +59,20 @@ def _gram_bits(grams: DataFrame, n_grams: int) -> tuple[int, Column]:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bench_text: str = "text",
-    item_col: str = "item_id", window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS,
+    item_col: str = "item_id", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans [(start, length)], items, contaminated."""
     grams = cut(benchmark_grams(benchmark, text_col=bench_text, item_col=item_col, window=window))
-    n_grams = grams.count()
+    weight = F.octet_length("gram") + 50 + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 20)
+    n_grams, n_bytes = grams.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # window values at most
     bits, field = _gram_bits(grams, n_grams)
 
     def candidates(w: Column, length: int) -> Column:
         def known(i: Column) -> Column:
-            h = F.xxhash64(F.slice(w, i, length))
-            return F.getbit(F.element_at(field, (F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)) + 1).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+            bit = lambda x: F.getbit(F.element_at(field, (F.shiftright(x, 6).bitwiseAND(F.lit(bits // 64 - 1)) + 1).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+            low, high = _two(F.xxhash64(F.slice(w, i, length)))
+            return bit(low) & bit(high)  # the second is asked only where the first bit is set
 
         places = F.when(F.size(w) >= length, F.sequence(F.lit(1), F.size(w) - (length - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(F.filter(places, known), lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), F.concat_ws(" ", F.slice(w, i, length)).alias("gram")))
@@ -74,10 +83,12 @@ def contamination(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
         let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), found(w).alias("c"))).alias("s"),
     ).select("id", "row", "s.n_words", F.explode_outer("s.c").alias("c")).select("id", "row", "n_words", "c.start", "c.length", "c.gram")
-    table = F.broadcast(grams) if n_grams <= broadcast_grams else grams
+    table = grams.select(F.col("gram").alias("known"), "items")
+    table = F.broadcast(table) if n_bytes <= broadcast_bytes else table
+    key = F.coalesce("gram", F.concat(F.lit(" "), F.col("row").cast("string")))  # no n-gram starts with a blank: rows without a candidate spread
     hit = F.when(F.col("items").isNotNull(), F.struct("start", "length"))
     out = (
-        scanned.join(table.select("gram", "items"), "gram", "left")
+        scanned.join(table, key == F.col("known"), "left")
         .groupBy("id", "row", "n_words")
         .agg(F.collect_set(hit).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     )
