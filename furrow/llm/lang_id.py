@@ -30,6 +30,8 @@ FEATURES = 1 << 16
 #: Labelled documents that the weights are fitted on, over all languages.
 SAMPLE = 3200
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
+#: The broadcast model holds FEATURES numbers a language, so their number has a limit: a table with more is an error.
+MAX_LANGUAGES = 512
 UNKNOWN = "und"
 FOLDS = 5
 _WORDLIKE = re.compile(r"[^\W\d_]+")
@@ -132,7 +134,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Fit on the documents with a text and a label whose fold is not 0."""
     text = F.col(text_col).cast("string")
     labelled = docs.where(text.isNotNull() & F.col(lang_col).isNotNull() & (fold_of(id_col, folds) != 0)).select(text.alias("t"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model is broadcast and takes {FEATURES * 8 >> 10} KB for each")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)))

@@ -63,7 +63,7 @@ def test_decontamination(spark, docs, bench):
     assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontam.contamination(empty(docs), bench).count() == 0
     assert decontam.contamination(docs.union(docs), bench).count() == 2 * len(TEXTS)
-    by_shuffle = decontam.contamination(docs, bench, broadcast_grams=0)
+    by_shuffle = decontam.contamination(docs, bench, broadcast_bytes=0)
     assert {(r.doc_id, r.n_hit) for r in by_shuffle.collect()} == {(i, r.n_hit) for i, r in got.items()}
 
 
@@ -323,6 +323,12 @@ def test_license_scan(spark, docs):
     assert license_scan.license_scan(empty(docs)).count() == 0
 
 
+def test_language_limit(spark):
+    many = spark.range(1100).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(many)
+
+
 @pytest.mark.parametrize(("text", "labels"), [
     ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0"), ("licensed under the GNU General Public License, version 3.", "gpl-3.0"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc,cc-by-nc-4.0"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("Nothing to see, in a permit of mit and gplx", ""), ("This is free and unencumbered software released into the public domain.", "unlicense"),
