@@ -59,8 +59,7 @@ def quantile_metrics(y: Column, q: Mapping[float, Column]) -> dict[str, Column]:
 def conformal_margin(val: DataFrame, *, y: str = "y", low: str = "q10", high: str = "q90", alpha: float = 0.2) -> DataFrame:
     """(n, margin): the interpolated quantile of the scores at min(1, ceil((n + 1)(1 - alpha)) / n).
 
-    The level depends on n, so the two order statistics around it are picked by rank: the scores are
-    range-sorted, not collected. Null without rows.
+    Exact: the last step holds the counts of all distinct scores in one task. Null without rows.
     """
     s = val.select(F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high)).alias("s")).where("s IS NOT NULL")
     n = s.count()
