@@ -90,6 +90,16 @@ def two_sample(rows: DataFrame, *, value: str, group: str, by: Sequence[str] = (
     )
 
 
+def moments(rows: DataFrame, *, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_train, n_test, means, population deviations) of group false against group true, null under two finite values in either."""
+    v, late = F.col(value).cast("double"), F.col(group)
+    rows = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    train, test = F.when(~late, v), F.when(late, v)
+    enough = (F.count(train) >= 2) & (F.count(test) >= 2)
+    out = {"mean_train": F.avg(train), "mean_test": F.avg(test), "std_train": F.stddev_pop(train), "std_test": F.stddev_pop(test)}
+    return rows.groupBy(*by).agg(F.count(train).alias("n_train"), F.count(test).alias("n_test"), *[F.when(enough, x).alias(k) for k, x in out.items()])
+
+
 def kuiper_p(stats: DataFrame, terms: int = 100) -> DataFrame:
     """``stats`` with kuiper_p, the asymptotic series; 1 below lambda 0.4."""
     n = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")).cast("double"))

@@ -1,4 +1,4 @@
-"""The data contract: all rules of a table in one aggregation pass."""
+"""The data contract: the rules of one kind over all columns of a table in one aggregation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.columns import d
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows beyond the first of each key; null keys are equal."""
@@ -42,3 +44,33 @@ def summary(df: DataFrame, keys: Sequence[str], bounds: Mapping[str, tuple[float
     rules = numeric_rules(df, bounds).agg(F.sum(F.col("non_numeric") + F.col("below_min") + F.col("above_max")).alias("violations"))
     whole = df.agg(F.count("*").alias("row_count")).join(duplicate_keys(df, keys)).join(rules)  # one row each
     return whole.select("row_count", "duplicate_rows", "violations", ((F.col("row_count") > 0) & (F.col("duplicate_rows") == 0) & (F.col("violations") == 0)).alias("ok"))
+
+
+def year_overlap(tables: Mapping[str, tuple[DataFrame, str]], base: str = "yield") -> DataFrame:
+    """(file, years, overlap, ok): the sorted years of each table (frame, year column) and those it shares with ``base``.
+
+    A table with years but none in common fails; one without years, and every table if ``base`` has none, is not judged.
+    """
+    found = None
+    for name, (df, column) in tables.items():
+        years = df.select(F.expr(f"try_cast(`{column}` AS int)").alias("y")).agg(F.array_sort(F.collect_set("y")).alias("years")).select(F.lit(name).alias("file"), "years")
+        found = years if found is None else found.unionByName(years)
+    ref = found.where(F.col("file") == base).select(F.col("years").alias("ref_"))  # one row of years
+    overlap = F.when((F.col("file") != base) & (F.size("ref_") > 0) & (F.size("years") > 0), F.array_intersect("years", "ref_"))
+    return found.join(F.broadcast(ref)).select("file", "years", overlap.alias("overlap"), F.coalesce(F.size(overlap) > 0, F.lit(True)).alias("ok"))
+
+
+def season_order(df: DataFrame, start: str = "sos", end: str = "eos") -> DataFrame:
+    """One row: rows whose season ends before it starts (missing or non-numeric bounds are not judged)."""
+    a, b = (F.expr(f"try_cast(`{x}` AS double)") for x in (start, end))
+    n = F.count_if(b < a)
+    return df.agg(n.alias("invalid_rows"), (n == 0).alias("ok"))
+
+
+def scale_warning(df: DataFrame, preferred: Mapping[str, float]) -> DataFrame:
+    """(column, largest, warning): true where all values are numbers and the largest is over the preferred maximum; never an error."""
+    v = {x: F.expr(f"try_cast(`{x}` AS double)") for x in preferred}
+    aggs = [a for x in preferred for a in (F.max(v[x]).alias(f"max_{x}"), F.count_if(F.col(x).isNotNull() & v[x].isNull()).alias(f"bad_{x}"))]
+    over = lambda x: F.coalesce((F.col(f"bad_{x}") == 0) & (F.col(f"max_{x}") > d(preferred[x])), F.lit(False))
+    rows = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"max_{x}").alias("largest"), over(x).alias("warning")) for x in preferred])
+    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")

@@ -74,6 +74,12 @@ def conformalize(frame: DataFrame, margin: DataFrame, *, low: str = "q10", high:
     return frame.join(F.broadcast(margin.select("margin"))).withColumns({f"{low}_conf": F.greatest(F.col(low) - F.col("margin"), d(0)), f"{high}_conf": F.col(high) + F.col("margin")}).drop("margin")
 
 
+def residual_band(frame: DataFrame, val: DataFrame, *, y: str = "y", p: str = "y_pred", alpha: float = 0.2) -> DataFrame:
+    """``frame`` with low_conf and high_conf around a point prediction, by the conformal margin of absolute residuals of ``val``."""
+    margin = conformal_margin(val, y=y, low=p, high=p, alpha=alpha)  # the larger of both signs
+    return frame.join(F.broadcast(margin.select("margin"))).withColumns({"low_conf": F.col(p) - F.col("margin"), "high_conf": F.col(p) + F.col("margin")}).drop("margin")
+
+
 def auc(frame: DataFrame, *, score: str, event: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_events, n, auc) by midranks; null where all rows or none are events.
 

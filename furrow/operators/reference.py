@@ -118,3 +118,37 @@ def gated_trend(samples: DataFrame, train: DataFrame, *, region: str = "region",
     back, ahead = F.col("back"), F.col("ahead")
     blend = (ahead * F.col("low") + back * F.col("high")) / (back + ahead)
     return out.select(region, F.col("t_").alias(year), F.coalesce(blend, "low", "high", "mean", "overall").alias("trend"))
+
+
+def regional_bias(fit: DataFrame, *, region: str = "region", y: str = "y", p: str = "y_pred") -> DataFrame:
+    """(region, slope, intercept) of y on the prediction, for regions whose mean prediction is above 0.
+
+    A region with under three rows or a constant prediction takes the line of all rows; where these are
+    too few or constant as well, the slope is 1 and the intercept the mean error (0 if the mean prediction is 0).
+    """
+    rows = fit.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    line = [F.count("*").alias("n"), F.avg(y).alias("my"), F.avg(p).alias("mp"), F.regr_slope(y, p).alias("b"), (F.max(p) > F.min(p)).alias("spread")]
+    own = rows.groupBy(region).agg(*line).where("mp > 0")
+    whole = rows.join(own.select(region), region, "left_semi").agg(*line)
+    fits = (F.col("n") >= 3) & F.col("spread")
+    whole = whole.select(F.when(fits, F.col("b")).otherwise(d(1)).alias("slope_all"), F.when(fits, F.col("my") - F.col("b") * F.col("mp")).when(F.col("mp") != 0, F.col("my") - F.col("mp")).otherwise(d(0)).alias("intercept_all"))
+    out = own.join(F.broadcast(whole))  # one row
+    return out.select(region, F.when(fits, F.col("b")).otherwise(F.col("slope_all")).alias("slope"), F.when(fits, F.col("my") - F.col("b") * F.col("mp")).otherwise(F.col("intercept_all")).alias("intercept"))
+
+
+def correct_by_region(frame: DataFrame, lines: DataFrame, *, region: str = "region", p: str = "y_pred") -> DataFrame:
+    """``frame`` with ``corrected``, not below 0; regions without a line are left out."""
+    value = F.greatest(F.col("slope") * F.col(p) + F.col("intercept"), d(0))
+    return frame.join(lines, region).withColumn("corrected", value).drop("slope", "intercept")
+
+
+def corrections(frame: DataFrame, fit: DataFrame, *, y: str = "y", p: str = "y_pred") -> DataFrame:
+    """``frame`` with by_mean, by_ratio and by_line: predictions moved by the offset, factor and line of all of ``fit``."""
+    t, x = bias_table(fit, y=y, p=p), F.col(p)
+    out = frame.join(F.broadcast(t))  # one row
+    return out.withColumns({"by_mean": x + F.col("offset"), "by_ratio": x * F.col("factor"), "by_line": F.col("slope") * x + F.col("intercept")}).drop("offset", "factor", "slope", "intercept")
+
+
+def national(rows: DataFrame, *, by: Sequence[str] = (), year: str = "year", y: str = "y", p: str = "y_pred") -> DataFrame:
+    """(by, year, y, p, regions): plain means over the regions of a year; years without a value in either are left out."""
+    return rows.groupBy(*by, year).agg(F.avg(y).alias(y), F.avg(p).alias(p), F.count(y).alias("regions")).where(F.col(y).isNotNull() & F.col(p).isNotNull())

@@ -68,6 +68,44 @@ def extreme(frame: DataFrame, *, true: str = "anom_true", pred: str = "anom_pred
     )
 
 
+def generalisation(frame: DataFrame, *, region: str = "region", year: str = "year", y: str = "y", p: str = "y_pred", trend: str = "ref_trend", ols: str = "ref_trend", sigma: str = "ref_sigma", driver: str | None = None) -> DataFrame:
+    """A row per partition: all rows (in_domain), true anomalies under minus one standard deviation (extreme_label), and the
+    upper tenth of ``driver`` (extreme_driver).
+
+    A partition without rows has none. Spatial, temporal and in-frame anomaly agreement are of in_domain only, the base
+    rate of the extremes only.
+    """
+    true, pred = F.col(y) - F.col(ols), F.col(p) - F.col(ols)
+    tags = [F.lit("in_domain"), F.when(true < -F.col(sigma), F.lit("extreme_label"))]
+    if driver:
+        frame = frame.join(F.broadcast(frame.agg(F.percentile(driver, 0.9).alias("bound_"))))  # one row
+        tags.append(F.when(F.col(driver) >= F.col("bound_"), F.lit("extreme_driver")))
+    rows = frame.select(F.col(region).alias("g"), F.col(year).alias("t"), F.col(y).alias("y"), F.col(p).alias("p"), F.col(trend).alias("r"), true.alias("a"), pred.alias("b"), F.explode(F.array_compact(F.array(*tags))).alias("partition"))
+    y_, p_, a, b = (F.col(x) for x in "ypab")
+    main = rows.groupBy("partition").agg(
+        F.count("*").alias("n"), c.rmse(y_, p_).alias("rmse"), c.skill(c.rmse(y_, p_), c.rmse(y_, F.col("r"))).alias("skill_rmse_vs_trend"), c.pearson(a, b, 3).alias("r_an_detrended"),
+        c.ratio(F.stddev_pop(b), F.stddev_pop(a)).alias("anomaly_spread_ratio"), c.r2(a, b).alias("r2_an"), c.ratio(c.rmse(a, b), F.avg(F.abs(a))).alias("nrmse_an"),
+    )
+    inner = rows.where("partition = 'in_domain'")
+    sp = inner.groupBy("t").agg(c.pearson(y_, p_).alias("r")).agg(F.percentile("r", 0.5).alias("r_sp"))
+    tm = inner.groupBy("g").agg(c.pearson(y_, p_, 3).alias("r")).agg(F.percentile("r", 0.5).alias("r_tm"))
+    an = evaluation.anomalies(inner, region="g", y="y", p="p").select(F.col("r_an").alias("r_an_window"), F.col("n").alias("whole_"))
+    out = main.join(F.broadcast(sp)).join(F.broadcast(tm)).join(F.broadcast(an))  # one row each
+    whole = F.col("partition") == "in_domain"
+    only = [F.when(whole, F.col(x)).alias(x) for x in ("r_sp", "r_tm", "r_an_window", "r2_an", "nrmse_an")]
+    return out.select("partition", F.when(~whole, c.ratio(F.col("n"), F.col("whole_"))).alias("base_rate_extreme"), "n", "rmse", "skill_rmse_vs_trend", "r_an_detrended", "anomaly_spread_ratio", *only)
+
+
+def report(blocks: Mapping[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, name, value): the tables of several tiers as one long table with names ``tier/metric``; keys that a tier lacks are null."""
+    out = None
+    for tier, block in blocks.items():
+        own = [k for k in keys if k in block.columns]
+        rows = evaluation.long(block, own).select(*own, F.concat(F.lit(f"{tier}/"), "metric").alias("name"), "value")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def driver_flags(seasons: DataFrame, train: DataFrame, *, region: str = "region", dry: str = "prec", hot: str = "tmax") -> DataFrame:
     """``seasons`` (region, year, sums) with ``driver_extreme``: 1 where the region's season is as dry as its training tenth or as hot as its ninetieth percentile; null for unseen regions."""
     ends = train.groupBy(region).agg(F.percentile(dry, 0.1).alias("p10_"), F.percentile(hot, 0.9).alias("p90_"))  # a region's seasons

@@ -484,7 +484,20 @@ def point_deltas(spark, sf_dir):
     return rounded(comparison.deltas(runs(spark, sf_dir), ["region"], metrics=["mae", "rmse"]))
 
 
-@query()
+#: The exact signed-rank test: sign choices counted by their rank sum, one rank a step (a panel has no ties and at most 50 regions).
+WILCOXON = """m AS (SELECT region, arm, avg(mae) AS mae, avg(rmse) AS rmse FROM runs GROUP BY ALL), l AS (UNPIVOT m ON mae, rmse INTO NAME metric VALUE value),
+diffs AS (SELECT a.metric, a.value - b.value AS v FROM l a JOIN l b ON a.region = b.region AND a.metric = b.metric WHERE a.arm = 'B1' AND b.arm = 'B0' AND abs(a.value - b.value) > 1e-12),
+rks AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY abs(v)) AS rk FROM diffs),
+signed AS (SELECT metric, count(*) AS n, least(sum(CASE WHEN v > 0 THEN rk ELSE 0 END), sum(CASE WHEN v < 0 THEN rk ELSE 0 END)) AS stat FROM rks GROUP BY metric),
+ways AS (
+  SELECT 0 AS k, 0 AS total, 1.0::DOUBLE AS c
+  UNION ALL SELECT k + 1, total + x * (k + 1), sum(c) FROM ways, (VALUES (0), (1)) AS t(x) WHERE k < 50 GROUP BY k, total + x * (k + 1)),
+wilcoxon AS (
+  SELECT metric, n, CAST(stat AS DOUBLE) AS statistic, CASE WHEN n >= 3 THEN least(1.0::DOUBLE, 2 * (SELECT sum(c) FROM ways WHERE k = n AND total <= stat) / 2.0::DOUBLE ** n) END AS p_value
+  FROM signed)"""
+
+
+@query(f"WITH RECURSIVE {_RUNS}, {WILCOXON} SELECT metric, n, {R('statistic', 'statistic')}, {R('p_value', 'p_value')} FROM wilcoxon")
 def wilcoxon_panel(spark, sf_dir):
     return rounded(comparison.wilcoxon(comparison.deltas(runs(spark, sf_dir), ["region"], metrics=["mae", "rmse"]), ["metric"], "delta"))
 

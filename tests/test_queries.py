@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
-from furrow.plans import registry
+from furrow.plans import protocol, registry  # noqa: F401
 from furrow.sources import tables
 from furrow.streaming import events
 
