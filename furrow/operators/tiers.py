@@ -72,7 +72,7 @@ def generalisation(frame: DataFrame, *, region: str = "region", year: str = "yea
     """A row per partition: all rows (in_domain), true anomalies under minus one standard deviation (extreme_label), and the
     upper tenth of ``driver`` (extreme_driver).
 
-    A partition without rows has none. Spatial, temporal and in-frame anomaly agreement are of in_domain only, the base
+    A partition without rows has none. The frame is read several times: hand over a written or checkpointed one. Spatial, temporal and in-frame anomaly agreement are of in_domain only, the base
     rate of the extremes only.
     """
     true, pred = F.col(y) - F.col(ols), F.col(p) - F.col(ols)

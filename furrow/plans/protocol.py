@@ -11,6 +11,7 @@ from furrow.functions import columns as c
 from furrow.functions.columns import d
 from furrow.operators import assembly, comparison, contract, evaluation, ranking, reference, tiers
 from furrow.plans.registry import _MARGIN, _POINT, _QS, _QUANT, _RUNS, DAILY, FRAME, PANEL, REF, WILCOXON, R, daily, frame, panel, query, referenced, rounded, runs, table
+from furrow.session import settled
 
 # --- tiers
 
@@ -35,7 +36,7 @@ SELECT part AS partition, CASE WHEN part <> 'in_domain' THEN {R('n / (SELECT cou
   {', '.join(R(f"CASE WHEN part = 'in_domain' THEN {x} END", k) for x, k in (('r_sp', 'r_sp'), ('r_tm', 'r_tm'), ('an.r_an', 'r_an_window'), ('r2_an', 'r2_an'), ('nrmse_an', 'nrmse_an')))}
 FROM m, sp, tm, an""")
 def generalisation_tier(spark, sf_dir):
-    return rounded(tiers.generalisation(referenced(spark, sf_dir), driver="q90"))
+    return rounded(tiers.generalisation(settled(referenced(spark, sf_dir)), driver="q90"))
 
 
 _TOLERANCE = ", ".join([

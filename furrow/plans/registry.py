@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from furrow.functions import columns as c
 from furrow.functions.columns import d
 from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
+from furrow.session import settled
 from furrow.sources import tables
 from furrow.streaming import events
 
@@ -78,8 +79,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("c_nationkey").alias("region"), F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice") / 1000, 9).alias("y"))
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.lags(panel(spark, sf_dir), steps=(1,)).where("lag_1 IS NOT NULL").withColumnRenamed("lag_1", "y_pred")
+def settled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel (a row per region and year), computed once for plans that read it several times."""
+    return settled(panel(spark, sf_dir))
+
+
+def frame(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
+    """Predictions of the panel ``p``, or of one settled here: the lag joins it with itself."""
+    rows = features.lags(settled_panel(spark, sf_dir) if p is None else p, steps=(1,)).where("lag_1 IS NOT NULL").withColumnRenamed("lag_1", "y_pred")
     return rows.withColumns({"q10": F.col("y_pred") * d(0.9), "q50": F.col("y_pred"), "q90": F.col("y_pred") * d(1.1)})
 
 
@@ -90,9 +97,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(mean(F.avg("l_quantity")).alias("tavg"), (F.min("l_quantity") - 5).alias("tmin"), F.max("l_quantity").alias("tmax"), mean(100 * F.avg("l_discount")).alias("prec"), mean(100 * F.avg("l_tax")).alias("rad"))
 
 
-def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def referenced(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """The test years with reference forecasts fitted on the years to 1999."""
-    return reference.attach(frame(spark, sf_dir).where("year >= 2000"), panel(spark, sf_dir).where("year <= 1999"))
+    p = settled_panel(spark, sf_dir) if p is None else p
+    return reference.attach(frame(spark, sf_dir, p).where("year >= 2000"), p.where("year <= 1999"))
 
 
 def with_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,8 +311,8 @@ def walk_forward_folds(spark, sf_dir):
 
 @query(f"WITH {FRAME}, {_FOLDS} SELECT CAST(fold AS INTEGER) AS fold, year, count(*) AS n, {R('sqrt(avg((y - y_pred) ** 2))', 'rmse')} FROM frame JOIN folds ON year > train_end GROUP BY 1, 2")
 def walk_forward_future_metrics(spark, sf_dir):
-    f = frame(spark, sf_dir)
-    return rounded(splits.later_rows(splits.walk_forward(panel(spark, sf_dir), folds=3), f).groupBy("fold", "year").agg(F.count("*").alias("n"), c.rmse(*_y()).alias("rmse")))
+    p = settled_panel(spark, sf_dir)
+    return rounded(splits.later_rows(splits.walk_forward(p, folds=3), frame(spark, sf_dir, p)).groupBy("fold", "year").agg(F.count("*").alias("n"), c.rmse(*_y()).alias("rmse")))
 
 
 @query(f"WITH {PANEL}, t AS (SELECT DISTINCT year FROM panel WHERE year >= 2000) SELECT a.year, CAST(b.year AS INTEGER) AS lag_year FROM t a JOIN t b ON b.year BETWEEN a.year - 3 AND a.year - 1")
@@ -634,7 +642,7 @@ mean AS (SELECT region, t, avg(v) FILTER (WHERE x <> t) AS m, t - max(x) FILTER
 SELECT region, t AS year, {R('coalesce((ahead * low + back * high) / (back + ahead), low, high, m)', 'trend')} FROM mean LEFT JOIN li USING (region, t)""")
 def gated_trend(spark, sf_dir):
     """The gate is at |z| > 0.5, so that the short panel has lines to blend."""
-    p = panel(spark, sf_dir)
+    p = settled_panel(spark, sf_dir)
     return rounded(reference.gated_trend(p, p, z_limit=0.5))
 
 
@@ -652,7 +660,7 @@ _ERR = {"rmse": "sqrt(avg((y - {0}) ** 2))", "mae": "avg(abs(y - {0}))"}
        f"{R('covar_pop(y - ref_trend, p - ref_trend) / (stddev_pop(y - ref_trend) * stddev_pop(p - ref_trend))', 'r_an')}, {R('1 - sum((y - p) ** 2) / (var_pop(y - ref_trend) * count(*))', 'r2_an')}, {R('any_value(spatial_r)', 'spatial_r')} FROM j JOIN sp USING (source, target) GROUP BY source, target")
 def transfer_tier(spark, sf_dir):
     country = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("region"), F.col("n_regionkey").cast("long").alias("target"))
-    rows = panel(spark, sf_dir).join(F.broadcast(country), "region")  # one row per nation
+    rows = settled_panel(spark, sf_dir).join(F.broadcast(country), "region")  # one row per nation
     train = rows.where("year <= 1999")
     scale = train.groupBy("target").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s"))
     lagged = rows.where("year >= 2000").join(rows.select("region", (F.col("year") + 1).alias("year"), F.col("y").alias("lag")), ["region", "year"])
@@ -689,8 +697,9 @@ _FOUR = {"trend": "ref_gated", "ols": "ref_trend", "climatology": "ref_climatolo
 
 def with_four_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test years with all four references; the gate is at |z| > 0.5, as in ``gated_trend``."""
-    rows, p = referenced(spark, sf_dir), panel(spark, sf_dir).where("year <= 1999")
-    return rows.join(reference.gated_trend(rows, p, z_limit=0.5).withColumnRenamed("trend", "ref_gated"), ["region", "year"])
+    p = settled_panel(spark, sf_dir)
+    rows = referenced(spark, sf_dir, p)
+    return rows.join(reference.gated_trend(rows, p.where("year <= 1999"), z_limit=0.5).withColumnRenamed("trend", "ref_gated"), ["region", "year"])
 
 
 @query(f"WITH {REF}, {_GATE} SELECT {_POINT}, " + ", ".join(
@@ -754,8 +763,8 @@ def driver_label_agreement(spark, sf_dir):
 m AS (SELECT year, count(*) AS folds, avg(rmse) AS a, stddev_pop(rmse) AS p, stddev_samp(rmse) AS s FROM f GROUP BY year)
 SELECT year, folds, {R('a', 'rmse_mean')}, {R('p', 'rmse_std_pop')}, {R('s', 'rmse_std_samp')} FROM m UNION ALL SELECT NULL, CAST(sum(folds) AS BIGINT), {R('avg(a)', 'rmse_mean')}, NULL, NULL FROM m""")
 def walk_forward_aggregate(spark, sf_dir):
-    f = frame(spark, sf_dir)
-    scored = splits.later_rows(splits.walk_forward(panel(spark, sf_dir), folds=3), f).groupBy("fold", "year").agg(c.rmse(*_y()).alias("rmse"))
+    p = settled_panel(spark, sf_dir)
+    scored = splits.later_rows(splits.walk_forward(p, folds=3), frame(spark, sf_dir, p)).groupBy("fold", "year").agg(c.rmse(*_y()).alias("rmse"))
     return rounded(tiers.over_folds(scored, ["rmse"]))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from furrow.operators import assembly, comparison, contract, evaluation, ranking, reference, tiers
+from furrow.plans import registry
 
 
 def test_year_bootstrap_of_one_year_has_no_interval(spark):
@@ -95,3 +96,8 @@ def test_generalisation_without_extremes_and_moments_without_rows(spark):
     assert (m.n_train, m.n_test, m.mean_train) == (2, 1, None)
     band = evaluation.residual_band(rows, rows.where("year = 1990")).collect()
     assert [r.low_conf for r in band] == [None, None]
+
+
+def test_the_panel_is_computed_once(spark, sf):
+    plan = registry.queries()["reference_forecasts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "Scan ExistingRDD" in plan
