@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import re
 import string
-import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import shared_folder
+
 #: Words as most contracts take them, from text whose A-Z are lower-cased.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,23 +34,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, for checkpoints and for tables that a job writes and reads back.
-
-    It is ``spark.checkpoint.dir`` of the session. Only a local session without one gets a temporary
-    folder; on a cluster that would be one machine's own, so there it is an error.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="furrow-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
