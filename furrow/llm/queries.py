@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, lang_id, license_scan, lm_score, mixing, sharding, simhash, token_count, token_output
+from . import byte_bpe, decontam, exact_dedup, fill_middle, lang_id, license_scan, lm_score, mixing, resample, sharding, simhash, token_count, token_output
 
 
 def tokenizer(name: str) -> str:
@@ -63,6 +63,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predictions(_documents(spark, sf_dir))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_documents(spark, sf_dir))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    done = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir), file, pattern), file, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
@@ -105,11 +124,27 @@ e AS (SELECT doc_id, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM n)
 SELECT d.*, CAST(e.copy AS INTEGER) AS copy, md5('{mixing.SEED}|' || d.doc_id || '|' || e.copy) AS mix_key FROM documents d JOIN e USING (doc_id)
 """
 
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (
+  SELECT doc_id, x, length(x) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (
+  SELECT doc_id, x, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(x, 1, a) AS pre, substring(x, a + 1, b - a) AS mid, substring(x, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scores, op5_poisson_mix, op6_exact_dedup, op7_license_scan, op8_sharding, op9_token_output, op10_language_id)
+    own = (op1_decontamination, op2_simhash, op3_token_counts, op4_lm_scores, op5_poisson_mix, op6_exact_dedup, op7_license_scan, op8_sharding, op9_token_output, op10_language_id, op11_importance_resample, op12_fill_in_middle, op13_byte_bpe)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_poisson_mix": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_poisson_mix": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op12_fill_in_middle": OP12_SQL}
