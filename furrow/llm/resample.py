@@ -6,8 +6,8 @@ longer feature is composed of its neighbours' payloads (a CRC is linear, so the
 ``a`` and a blank, moved on by the length of ``b``, combined with the CRC of ``b``), and is never computed from
 the bytes again. The CRC's remainder is the feature's bucket, for counting and for scoring.
 
-The dictionary holds the ``DICTIONARY`` most frequent words of at most ``WORD_BYTES`` bytes (counted over all texts of both tables),
-so what is broadcast has a fixed bound; a word outside it gets its CRC from its own bytes, with the
+The dictionary holds the most frequent words of at most ``WORD_BYTES`` bytes, ``DICTIONARY`` of them at most (counted over all texts of
+both tables), so what is broadcast has a fixed bound; a word outside it gets its CRC from its own bytes, with the
 same result. Three scans read the texts: words, bucket counts, weights. What goes between
 them is a fixed number of buckets. Scores are drawn with Gumbel noise from a hash of seed and id; the
 highest of them are found by a range sort and the row counts of its partitions, not in one task.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import cut, shared_folder
 
 BUCKETS = 10_000
 RUN = 3
@@ -207,6 +207,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int = DICTIONARY) -> list[bytes]:
+    """The most frequent of the words that repeat, ``most`` at most: all whose count reaches a bound that few enough reach.
+
+    The bound is found from a histogram over eighths of powers of two, so the driver gets that and the chosen words only.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    counts = cut(counts.where("n > 1").withColumn("level", level))
+    least, total = None, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # 512 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r.level
+    return [] if least is None else [bytes(r.word) for r in counts.where(F.col("level") >= least).select("word").collect()]
+
+
 def bucket_counts(texts: DataFrame, words: Dictionary, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) of all features of a table of texts ``t``."""
 
@@ -236,8 +252,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, *, id_col: str = "doc
     """One row per document: id, n_words, n_features, weight (the sum of its features' gains)."""
     spark = docs.sparkSession
     texts = docs.select(_text(text_col)).unionAll(target.select(_text(text_col)))
-    frequent = word_counts(texts).orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word").collect()  # DICTIONARY words at most
-    words = Dictionary(spark, [bytes(r.word) for r in frequent])
+    words = Dictionary(spark, frequent_words(word_counts(texts)))
     gains = spark.sparkContext.broadcast(importance_gains(docs, target, words, text_col=text_col, buckets=buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

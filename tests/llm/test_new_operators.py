@@ -110,6 +110,14 @@ def test_a_scan_without_dictionary_and_in_pieces():
         assert found == Counter(whole)
 
 
+def test_frequent_words_keep_their_bound(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), i) for i in range(1, 300)], "word binary, n long")
+    words = resample.frequent_words(counts, 50)
+    assert 0 < len(words) <= 50 and sorted(words) == sorted(f"w{i}".encode() for i in range(300 - len(words), 300))
+    assert len(resample.frequent_words(counts)) == 298
+    assert resample.frequent_words(counts.where("n = 1")) == resample.frequent_words(counts.withColumn("n", F.lit(5)), 50) == []
+
+
 def test_crc_shift_at_any_length():
     n = np.array([0, 1, 2, 63, 64, 65, 1000, 70_000, 1 << 21])
     moved = resample.CrcShift()(np.full(len(n), zlib.crc32(b"head"), np.uint32), n)
