@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
+from furrow.operators import order
 
 
 def deltas(runs: DataFrame, keys: Sequence[str], *, arm: str = "arm", base: str = "B0", metrics: Sequence[str]) -> DataFrame:
@@ -22,55 +24,47 @@ def deltas(runs: DataFrame, keys: Sequence[str], *, arm: str = "arm", base: str
     return rows.where(F.col(arm) != base).join(ref, [*keys, "metric"]).select(*keys, arm, "metric", "base", "value", (F.col("value") - F.col("base")).alias("delta"))
 
 
+#: Most differences of an exact signed-rank test.
+EXACT_RANKS = 50
+
+
+def _rank_sum_p(n: int, plus: float, ties: float, tied: bool) -> float | None:
+    """The two-sided p of a signed-rank sum: exact for few differences without ties, else the normal approximation."""
+    if n < 3:
+        return None
+    if n <= EXACT_RANKS and not tied:
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1.0
+        for k in range(1, n + 1):
+            ways[k:] += ways[:-k].copy()
+        return min(1.0, 2 * ways[: int(min(plus, n * (n + 1) / 2 - plus)) + 1].sum() / 2.0**n)
+    sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return math.erfc(abs(plus - n * (n + 1) / 4) / sd / math.sqrt(2)) if sd else None
+
+
 def wilcoxon(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, n, statistic, p_value) of the signed-rank test on differences (zeros left out).
 
     Exact for up to 50 differences without ties, else the normal approximation with tie correction;
-    null under three differences. A group is a panel's differences, so it fits one task.
-    """
-    import math
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[value].to_numpy(float)
-        v = v[np.isfinite(v) & (np.abs(v) > 1e-12)]
-        n, stat, p = len(v), None, None
-        if n >= 3:
-            a = pd.Series(np.abs(v)).round(12)
-            r = a.rank().to_numpy()
-            plus = float(r[v > 0].sum())
-            stat = min(plus, n * (n + 1) / 2 - plus)
-            if n <= 50 and not a.duplicated().any():
-                ways = np.zeros(n * (n + 1) // 2 + 1)
-                ways[0] = 1.0
-                for k in range(1, n + 1):
-                    ways[k:] += ways[:-k].copy()
-                p = min(1.0, 2 * ways[: int(stat) + 1].sum() / 2.0**n)
-            else:
-                t = a.value_counts().to_numpy(float)
-                sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48)
-                p = math.erfc(abs(plus - n * (n + 1) / 4) / sd / math.sqrt(2)) if sd else None
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in by], n, stat, p]], columns=[*by, "n", "statistic", "p_value"])
-
-    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in by], "n long", "statistic double", "p_value double"])
-    return rows.groupBy(*by).applyInPandas(test, schema)
-
-
-def block_bootstrap(frame: DataFrame, *, year: str = "year", y: str = "y", a: str = "y_pred", b: str = "y_base", draws: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """One row: the RMSE difference of two arms and its percentile interval over year-block draws.
-
-    Moments are summed per year once; a draw is a weighting of years, so the drawn frames never exist.
+    null under three differences. Ranks come from ranges of the absolute differences; a task sees one row a group.
     """
-    e1, e2 = (F.col(y) - F.col(a)) * (F.col(y) - F.col(a)), (F.col(y) - F.col(b)) * (F.col(y) - F.col(b))
-    sums = frame.groupBy(year).agg(F.count("*").alias("n"), F.sum(e1).alias("s1"), F.sum(e2).alias("s2"))
-    years = sorted(r[0] for r in sums.select(year).collect())
-    rng = np.random.default_rng(seed)
-    counts = [(k, int(t), int(m)) for k in range(draws) for t, m in zip(years, np.bincount(rng.integers(0, len(years), len(years)), minlength=len(years))) if m]
-    table = frame.sparkSession.createDataFrame(counts, f"draw int, {year} int, times int")
-    drawn = table.join(sums, year).groupBy("draw").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in ("n", "s1", "s2")])
-    diff = F.sqrt(F.col("s1") / F.col("n")) - F.sqrt(F.col("s2") / F.col("n"))
-    ends = drawn.select(diff.alias("x")).agg(F.percentile("x", (1 - level) / 2).alias("low"), F.percentile("x", (1 + level) / 2).alias("high"), F.count("x").alias("draws"))
-    point = sums.agg((F.sqrt(F.sum("s1") / F.sum("n")) - F.sqrt(F.sum("s2") / F.sum("n"))).alias("delta"))
-    return point.join(ends)
+    v = F.col(value).cast("double")
+    real = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (F.abs(v) > 1e-12)
+    sized = rows.select(*by, F.when(real, F.round(F.abs(v), 12)).alias("size_"), (v > 0).alias("up_"))
+    ranked = order.midranks(sized, "size_", by=by, ups=F.count_if("up_"))
+    n = F.col("n")
+    sums = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("ups")).alias("plus"), F.sum(n * n * n - n).cast("double").alias("ties"), (F.max("n") > 1).alias("tied"))
+    groups = rows.groupBy(*by).agg(F.lit(0).alias("none_"))
+    on = [groups[k].eqNullSafe(sums[k]) for k in by]
+    whole = groups.join(sums, on, "left").select(*[groups[k] for k in by], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("plus", d(0)).alias("plus"), F.coalesce("ties", d(0)).alias("ties"), F.coalesce("tied", F.lit(False)).alias("tied"))
+
+    @F.pandas_udf("double")
+    def p_value(n: pd.Series, plus: pd.Series, ties: pd.Series, tied: pd.Series) -> pd.Series:
+        return pd.Series([_rank_sum_p(*x) for x in zip(n, plus, ties, tied)], dtype=float)
+
+    statistic = F.when(F.col("n") >= 3, F.least(F.col("plus"), F.col("n") * (F.col("n") + 1) / 2 - F.col("plus")))
+    p = p_value("n", "plus", "ties", "tied")
+    return whole.select(*by, "n", statistic.alias("statistic"), F.when(F.col("n") >= 3, p).alias("p_value"))
 
 
 def two_sample(rows: DataFrame, *, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -78,18 +72,60 @@ def two_sample(rows: DataFrame, *, value: str, group: str, by: Sequence[str] = (
 
     Values are counted per distinct value first; running counts give both distribution functions.
     """
-    n = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    w = Window.partitionBy(*by).orderBy(value)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    f = n.withColumns({"n1": F.sum("a").over(whole), "n2": F.sum("b").over(whole), "fa": F.sum("a").over(up), "fb": F.sum("b").over(up), "next": F.lead(value).over(w)})
-    gap = c.ratio(F.col("fa"), F.col("n1")) - c.ratio(F.col("fb"), F.col("n2"))
+    counts = order.counted(rows, value, by=by, a=F.count_if(F.col(group)), b=F.count_if(~F.col(group))).drop("n").withColumn("value_", F.col(value))
+    f = order.running(counts, value, ["a", "b"], lows=["value_"], by=by)
+    n1, n2 = F.col("a_total"), F.col("b_total")
+    gap = c.ratio(F.col("a_before") + F.col("a"), n1) - c.ratio(F.col("b_before") + F.col("b"), n2)
     return f.withColumn("gap", gap).groupBy(*by).agg(
-        F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(F.abs("gap")).alias("ks"), (F.greatest(F.max("gap"), d(0)) + F.greatest(F.max(-F.col("gap")), d(0))).alias("kuiper"),
-        F.coalesce(F.sum(F.abs("gap") * (F.col("next") - F.col(value))), d(0)).alias("wasserstein"),
+        F.max(n1).alias("n1"), F.max(n2).alias("n2"), F.max(F.abs("gap")).alias("ks"), (F.greatest(F.max("gap"), d(0)) + F.greatest(F.max(-F.col("gap")), d(0))).alias("kuiper"),
+        F.coalesce(F.sum(F.abs("gap") * (F.col("value__after") - F.col("value_"))), d(0)).alias("wasserstein"),
     )
 
 
+#: Largest sample of an exact two-sample test; the series is used beyond.
+EXACT_SAMPLE = 10_000
+
+
+def _ks_exact(n1: int, n2: int, ks: float) -> float:
+    """The probability that a random order of both samples has a distance of ``ks`` or more.
+
+    An order is a lattice path of n1 + n2 steps. The share of paths at each place that have stayed inside is
+    carried from step to step; what leaves is added up, so small probabilities are exact too.
+    """
+    reach, whole = round(ks * n1 * n2), n1 + n2
+    inside, left = np.zeros(n1 + 1), 0.0
+    inside[0], i = 1.0, np.arange(n1 + 1)
+    if reach <= 0:
+        return 1.0
+    for step in range(1, whole + 1):
+        j = step - 1 - i  # of the step before
+        up, along = inside * np.clip(n1 - i, 0, None), inside * np.clip(n2 - j, 0, None)
+        inside = along.copy()
+        inside[1:] += up[:-1]
+        inside /= whole - step + 1
+        out = np.abs(i * n2 - (step - i) * n1) >= reach
+        left += inside[out].sum()
+        inside[out] = 0.0
+    return float(min(1.0, left))
+
+
+def _ks_series(n1: int, n2: int, ks: float, terms: int = 100) -> float:
+    k, rate = np.arange(1, terms + 1), 2 * n1 * n2 / (n1 + n2) * ks * ks
+    return float(min(1.0, max(0.0, 2 * ((-1.0) ** (k - 1) * np.exp(-rate * k * k)).sum()))) if rate > 0.08 else 1.0
+
+
+def ks_p(stats: DataFrame) -> DataFrame:
+    """``stats`` with ks_p: the two-sided p of ks, exact for samples up to ``EXACT_SAMPLE``, by the asymptotic series beyond; null where a sample is empty."""
+
+    @F.pandas_udf("double")
+    def p_value(n1: pd.Series, n2: pd.Series, ks: pd.Series) -> pd.Series:
+        pick = lambda a, b: _ks_exact if max(a, b) <= EXACT_SAMPLE else _ks_series
+        return pd.Series([pick(a, b)(*sorted((int(a), int(b))), float(v)) if a and b and v == v and v is not None else None for a, b, v in zip(n1, n2, ks)], dtype=float)
+
+    known = (F.col("n1") > 0) & (F.col("n2") > 0) & F.col("ks").isNotNull()
+    return stats.withColumn("ks_p", F.when(known, p_value(F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0)), F.coalesce("ks", d(0)))))
+
+
 def moments(rows: DataFrame, *, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_train, n_test, means, population deviations) of group false against group true, null under two finite values in either."""
     v, late = F.col(value).cast("double"), F.col(group)
@@ -109,15 +145,6 @@ def kuiper_p(stats: DataFrame, terms: int = 100) -> DataFrame:
     return stats.withColumn("kuiper_p", F.when(lam < 0.4, d(1)).otherwise(F.least(F.greatest(series, d(0)), d(1))))
 
 
-def false_discovery(rows: DataFrame, *, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with q_value, the Benjamini-Hochberg running minimum from the largest p down."""
-    w = Window.partitionBy(*by).orderBy(p)
-    ranked = rows.withColumns({"rank_": F.row_number().over(w), "m_": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    raw = F.col(p) * F.col("m_") / F.col("rank_")
-    down = Window.partitionBy(*by).orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum
-    return ranked.withColumn("q_value", F.least(F.min(raw).over(down), d(1))).drop("rank_", "m_")
-
-
 def earliest_useful(runs: DataFrame, by: Sequence[str], *, origin: str = "origin", auc: str = "auc", least: float = 0.7) -> DataFrame:
     """The first origin whose AUC reaches ``least``, null if none does."""
     return runs.groupBy(*by).agg(F.min(F.when(F.col(auc) >= least, F.col(origin))).alias("earliest_origin"))

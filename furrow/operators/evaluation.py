@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
-from furrow.operators import reference
+from furrow.operators import order, reference
 
 
 def by_scope(frame: DataFrame, metrics: Mapping[str, Column], *, year: str = "year") -> DataFrame:
@@ -57,16 +57,9 @@ def quantile_metrics(y: Column, q: Mapping[float, Column]) -> dict[str, Column]:
 
 
 def conformal_margin(val: DataFrame, *, y: str = "y", low: str = "q10", high: str = "q90", alpha: float = 0.2) -> DataFrame:
-    """(n, margin): the interpolated quantile of the scores at min(1, ceil((n + 1)(1 - alpha)) / n).
-
-    Exact: the last step holds the counts of all distinct scores in one task. Null without rows.
-    """
-    s = val.select(F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high)).alias("s")).where("s IS NOT NULL")
-    n = s.count()
-    if not n:
-        return s.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("margin"))
-    level = min(1.0, -(-(n + 1) * round((1 - alpha) * 1e9) // 10**9) / n)
-    return s.agg(F.lit(n).cast("long").alias("n"), F.percentile("s", level).alias("margin"))
+    """(n, margin): the interpolated quantile of the scores at min(1, ceil((n + 1)(1 - alpha)) / n), null without rows."""
+    level = lambda n: F.least(d(1), F.ceil(F.round((n + 1) * d(1 - alpha), 9)) / n)
+    return order.percentiles(val, F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high)), {"margin": level})
 
 
 def conformalize(frame: DataFrame, margin: DataFrame, *, low: str = "q10", high: str = "q90") -> DataFrame:
@@ -80,18 +73,6 @@ def residual_band(frame: DataFrame, val: DataFrame, *, y: str = "y", p: str = "y
     return frame.join(F.broadcast(margin.select("margin"))).withColumns({"low_conf": F.col(p) - F.col("margin"), "high_conf": F.col(p) + F.col("margin")}).drop("margin")
 
 
-def auc(frame: DataFrame, *, score: str, event: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n_events, n, auc) by midranks; null where all rows or none are events.
-
-    Scores are first counted, so that ties and copies cost one row; the running sum is over distinct scores.
-    """
-    counts = frame.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("n") + 1) / d(2))
-    e, n = F.sum("e"), F.sum("n")
-    return ranked.groupBy(*by).agg(e.alias("n_events"), n.alias("n"), c.ratio(F.sum(F.col("rank") * F.col("e")) - e * (e + 1) / d(2), e * (n - e)).alias("auc"))
-
-
 def bad_years(frame: DataFrame, *, true: str = "anom_true", pred: str = "anom_pred", sigma: str = "ref_sigma", k: float = 0.5) -> DataFrame:
     """One row: base rate, precision, recall and F1 of anomalies below -k sigma; null if none or all are events."""
     event, alarm = F.col(true) < -d(k) * F.col(sigma), F.col(pred) < -d(k) * F.col(sigma)
@@ -105,7 +86,7 @@ def bad_years(frame: DataFrame, *, true: str = "anom_true", pred: str = "anom_pr
 
 def shortfall_capture(frame: DataFrame, *, true: str = "anom_true", pred: str = "anom_pred", share: float = 0.1) -> DataFrame:
     """Mean predicted over mean true shortfall among the lowest ``share`` of true anomalies."""
-    bound = frame.agg(F.percentile(true, share).alias("bound"))
+    bound = order.percentiles(frame, F.col(true), {"bound": share}).select("bound")
     low = frame.join(F.broadcast(bound)).where(F.col(true) <= F.col("bound"))
     return low.agg(F.count("*").alias("n"), c.ratio(F.avg(-F.col(pred)), F.avg(-F.col(true))).alias("capture"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import d, ratio
+from furrow.operators import order
 
 MIN_TREND_YEARS = 5
 LEVELS = (0.1, 0.5, 0.9)
@@ -32,8 +33,9 @@ def pooled(train: DataFrame, coef: DataFrame, *, region: str = "region", year: s
     e = F.col(y) - F.col("intercept") - F.col("slope") * F.col(year)
     rows = train.join(coef, region).select(F.col(y).alias("y"), e.alias("e"), "sigma")
     sigma = rows.agg(F.stddev_samp("e").alias("pooled_sigma"), F.avg("y").alias("overall"))
-    z = rows.join(F.broadcast(sigma)).select("overall", "pooled_sigma", F.when(F.coalesce("sigma", "pooled_sigma") > 0, F.col("e") / F.coalesce("sigma", "pooled_sigma")).alias("z"))
-    return z.groupBy("overall", "pooled_sigma").agg(F.percentile("z", F.array(*map(d, levels))).alias("z_levels"))
+    z = rows.join(F.broadcast(sigma)).select(F.when(F.coalesce("sigma", "pooled_sigma") > 0, F.col("e") / F.coalesce("sigma", "pooled_sigma")).alias("z"))
+    found = order.percentiles(z, F.col("z"), {f"z{k}": t for k, t in enumerate(levels)})
+    return sigma.crossJoin(found.select(F.array(*[f"z{k}" for k in range(len(levels))]).alias("z_levels")))  # one row each
 
 
 def attach(frame: DataFrame, train: DataFrame, *, region: str = "region", year: str = "year", y: str = "y", levels: Sequence[float] = LEVELS) -> DataFrame:
@@ -87,8 +89,9 @@ def bias_table(fit: DataFrame, *, by: Sequence[str] = (), y: str = "y", p: str =
 
 def quantile_map(frame: DataFrame, fit: DataFrame, *, y: str = "y", p: str = "y_pred", knots: int = 21) -> DataFrame:
     """``frame`` with ``mapped``: predictions moved from their fit quantiles to those of y, flat outside the range."""
-    levels = F.array(*[d(k / (knots - 1)) for k in range(knots)])
-    maps = fit.agg(F.percentile(p, levels).alias("qp"), F.percentile(y, levels).alias("qy"))
+    levels = {f"k{k}": k / (knots - 1) for k in range(knots)}
+    own, true = (order.percentiles(fit, F.col(x), levels).select(F.array(*levels).alias(q)) for x, q in ((p, "qp"), (y, "qy")))
+    maps = own.crossJoin(true)  # one row each
     at = F.greatest(F.lit(1), F.least(F.lit(knots - 1), F.size(F.filter("qp", lambda q: q <= F.col(p)))))
     x0, x1, y0, y1 = F.element_at("qp", at), F.element_at("qp", at + 1), F.element_at("qy", at), F.element_at("qy", at + 1)
     share = F.least(F.greatest(F.when(x1 > x0, (F.col(p) - x0) / F.nullif(x1 - x0, d(0))).otherwise(d(0)), d(0)), d(1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
-from furrow.operators import evaluation
+from furrow.operators import evaluation, order
 
 
 def accuracy(frame: DataFrame, refs: Mapping[str, str], *, by: Sequence[str] = (), y: str = "y", p: str = "y_pred") -> DataFrame:
@@ -53,7 +53,7 @@ def operational(frame: DataFrame, *, sigmas: Sequence[float] = (0.5, 1.0), true:
     precision, recall = none(c.ratio(F.col("h"), F.col("a"))), none(c.ratio(F.col("h"), F.col("e")))
     out = t.select("k", "n", c.ratio(F.col("e"), F.col("n")).alias("base_rate"), F.when(some, precision).alias("precision"), F.when(some, recall).alias("recall"), F.when(some, none(c.ratio(2 * precision * recall, precision + recall))).alias("f1"))
     for name, score in (("auc", "by_pred"), ("auc_low", "by_low")):
-        out = out.join(evaluation.auc(rows, score=score, event="event", by=["k"]).select("k", F.col("auc").alias(name)), "k")
+        out = out.join(order.auc(rows, score=score, event="event", by=["k"]).select("k", F.col("auc").alias(name)), "k")
     return out
 
 
@@ -78,7 +78,7 @@ def generalisation(frame: DataFrame, *, region: str = "region", year: str = "yea
     true, pred = F.col(y) - F.col(ols), F.col(p) - F.col(ols)
     tags = [F.lit("in_domain"), F.when(true < -F.col(sigma), F.lit("extreme_label"))]
     if driver:
-        frame = frame.join(F.broadcast(frame.agg(F.percentile(driver, 0.9).alias("bound_"))))  # one row
+        frame = frame.join(F.broadcast(order.percentiles(frame, F.col(driver), {"bound_": 0.9}).select("bound_")))  # one row
         tags.append(F.when(F.col(driver) >= F.col("bound_"), F.lit("extreme_driver")))
     rows = frame.select(F.col(region).alias("g"), F.col(year).alias("t"), F.col(y).alias("y"), F.col(p).alias("p"), F.col(trend).alias("r"), true.alias("a"), pred.alias("b"), F.explode(F.array_compact(F.array(*tags))).alias("partition"))
     y_, p_, a, b = (F.col(x) for x in "ypab")

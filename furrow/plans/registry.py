@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.functions.columns import d
-from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
+from furrow.operators import comparison, contract, evaluation, features, multiyear, order, ranking, reference, series, shift, spectral, splits, tiers
 from furrow.session import settled
 from furrow.sources import tables
 from furrow.streaming import events
@@ -241,7 +241,7 @@ def conformalized_band(spark, sf_dir):
 @query(f"WITH {REF}, e AS (SELECT *, anom_true < -0.5::DOUBLE * ref_sigma AS event, rank() OVER (ORDER BY round(-anom_pred / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9)) + (count(*) OVER (PARTITION BY round(-anom_pred / CASE WHEN ref_sigma > 0 THEN ref_sigma ELSE 1 END, 9)) - 1) / 2.0 AS rk FROM anom) SELECT count(*) FILTER (WHERE event) AS n_events, count(*) AS n, {R('(sum(rk) FILTER (WHERE event) - count(*) FILTER (WHERE event) * (count(*) FILTER (WHERE event) + 1) / 2.0) / (count(*) FILTER (WHERE event) * count(*) FILTER (WHERE NOT event))', 'auc')} FROM e")
 def badyear_auc_midrank(spark, sf_dir):
     f = with_anomalies(spark, sf_dir).select((F.col("anom_true") < -d(0.5) * F.col("ref_sigma")).alias("event"), F.round(-F.col("anom_pred") / F.when(F.col("ref_sigma") > 0, F.col("ref_sigma")).otherwise(d(1)), 9).alias("score"))
-    return rounded(evaluation.auc(f, score="score", event="event"))
+    return rounded(order.auc(f, score="score", event="event"))
 
 
 @query(f"WITH {REF}, e AS (SELECT CAST(anom_true < -0.5::DOUBLE * ref_sigma AS INTEGER) AS e, CAST(anom_pred < -0.5::DOUBLE * ref_sigma AS INTEGER) AS a FROM anom), t AS (SELECT count(*) AS n, sum(e) AS e, sum(a) AS a, sum(e * a) AS h FROM e) SELECT n, {R('e / n', 'base_rate')}, {R('coalesce(h / nullif(a, 0), 0)', 'precision')}, {R('h / e', 'recall')}, {R('coalesce(2 * h / nullif(a + e, 0), 0)', 'f1')} FROM t")
@@ -510,9 +510,17 @@ def wilcoxon_panel(spark, sf_dir):
     return rounded(comparison.wilcoxon(comparison.deltas(runs(spark, sf_dir), ["region"], metrics=["mae", "rmse"]), ["metric"], "delta"))
 
 
-@query()
+_CI = """e AS (SELECT year, count(*) AS n, sum((y - y_pred) ** 2) AS s1, sum((y - ref_climatology) ** 2) AS s2 FROM ref GROUP BY year),
+slots AS (SELECT draw, years, unnest(range(1, len(years) + 1)) AS k FROM (SELECT list(year ORDER BY year) AS years FROM e), range(1000) AS r(draw)),
+picked AS (SELECT draw, years[1 + CAST('0x' || substr(md5(draw || '-' || k || '-7'), 1, 8) AS BIGINT) % len(years)] AS year FROM slots),
+b AS (SELECT draw, sqrt(sum(s1) / sum(n)) - sqrt(sum(s2) / sum(n)) AS x FROM picked JOIN e USING (year) GROUP BY draw)"""
+
+
+@query(f"WITH {REF}, {_CI} SELECT {R('(SELECT sqrt(sum(s1) / sum(n)) - sqrt(sum(s2) / sum(n)) FROM e)', 'delta')}, {R('quantile_cont(x, 0.025)', 'low')}, {R('quantile_cont(x, 0.975)', 'high')}, count(x) AS draws FROM b")
 def bootstrap_ci(spark, sf_dir):
-    return rounded(comparison.block_bootstrap(referenced(spark, sf_dir).withColumn("y_base", F.col("ref_climatology"))))
+    """The RMSE difference of the predictions and the climatology, over 1000 draws of years."""
+    both = ranking.year_bootstrap(referenced(spark, sf_dir).withColumn("y_base", F.col("ref_climatology"))).where("metric = 'rmse'")
+    return rounded(both.select("delta", F.col("ci_lo").alias("low"), F.col("ci_hi").alias("high"), F.col("n_boot_eff").alias("draws")))
 
 
 _SHIFT = FRAME + """, v AS (SELECT region, y, year >= 2000 AS late FROM panel), n AS (SELECT region, y, count(*) FILTER (WHERE late) AS a, count(*) FILTER (WHERE NOT late) AS b FROM v GROUP BY ALL),
@@ -526,6 +534,20 @@ def distribution_shift(spark, sf_dir):
     return rounded(comparison.two_sample(rows, value="y", group="late", by=["region"]))
 
 
+@query(f"""WITH RECURSIVE {_SHIFT}, lattice AS (
+  SELECT region, n1, n2, ks, 0 AS step, 0 AS i, 1.0::DOUBLE AS share FROM st
+  UNION ALL
+  SELECT region, n1, n2, ks, step + 1, i + t.x, sum(share * CASE t.x WHEN 1 THEN n1 - i ELSE n2 - step + i END / CAST(n1 + n2 - step AS DOUBLE))
+  FROM lattice, (VALUES (0), (1)) AS t(x)
+  WHERE step < n1 + n2 AND CASE t.x WHEN 1 THEN n1 - i ELSE n2 - step + i END > 0 AND abs((i + t.x) / CAST(n1 AS DOUBLE) - (step + 1 - i - t.x) / CAST(n2 AS DOUBLE)) < ks - 1e-9
+  GROUP BY region, n1, n2, ks, step, i + t.x),
+stayed AS (SELECT region, sum(share) AS share FROM lattice WHERE step = n1 + n2 GROUP BY region)
+SELECT st.region, n1, n2, {R('ks', 'ks')}, {R('1 - coalesce(share, 0)', 'ks_p')} FROM st LEFT JOIN stayed USING (region)""")
+def ks_significance(spark, sf_dir):
+    rows = panel(spark, sf_dir).withColumn("late", F.col("year") >= 2000)
+    return rounded(comparison.ks_p(comparison.two_sample(rows, value="y", group="late", by=["region"])).select("region", "n1", "n2", "ks", "ks_p"))
+
+
 @query(f"""WITH {_SHIFT}, l AS (SELECT *, (sqrt(n1 * n2 / (n1 + n2)) + 0.155::DOUBLE + 0.24::DOUBLE / sqrt(n1 * n2 / (n1 + n2))) * kuiper AS lam FROM st),
 p AS (SELECT region, CASE WHEN any_value(lam) < 0.4 THEN 1 ELSE least(greatest(sum(2 * (4 * j * j * lam * lam - 1) * exp(-2 * j * j * lam * lam)), 0), 1) END AS p FROM l, range(1, 101) AS t(j) GROUP BY region),
 k AS (SELECT region, round(p, 9) AS p FROM p), r AS (SELECT *, row_number() OVER (ORDER BY p, region) AS rk, count(*) OVER () AS m FROM k)
@@ -533,7 +555,7 @@ SELECT region, {R('p', 'kuiper_p')}, {R('least(min(p * m / rk) OVER (ORDER BY p,
 def kuiper_false_discovery(spark, sf_dir):
     rows = panel(spark, sf_dir).withColumn("late", F.col("year") >= 2000)
     p = comparison.kuiper_p(comparison.two_sample(rows, value="y", group="late", by=["region"])).select("region", F.round("kuiper_p", 9).alias("kuiper_p"))
-    return rounded(comparison.false_discovery(p, p="kuiper_p"))
+    return rounded(order.false_discovery(p, p="kuiper_p"))
 
 
 @query("WITH m AS (SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY ALL), s AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(n) FILTER (WHERE t = p) AS h, sum(n) FILTER (WHERE t = 0) AS t0, sum(n) FILTER (WHERE t = 1) AS t1, sum(n) FILTER (WHERE p = 0) AS p0, sum(n) FILTER (WHERE p = 1) AS p1, coalesce(sum(n) FILTER (WHERE t = 0 AND p = 0), 0) AS h0, coalesce(sum(n) FILTER (WHERE t = 1 AND p = 1), 0) AS h1, sum((t - p) ** 2 * n) AS d2 FROM m) "

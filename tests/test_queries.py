@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
-from furrow.operators import comparison, contract, evaluation, features, multiyear, reference, series, shift, spectral, splits, tiers
+from furrow.operators import comparison, contract, evaluation, features, multiyear, order, reference, series, shift, spectral, splits, tiers
 from furrow.plans import protocol, registry  # noqa: F401
 from furrow.sources import tables
 from furrow.streaming import events
@@ -60,9 +60,9 @@ def test_skill_against_itself_is_zero(spark):
 
 def test_auc_turns_over(spark):
     df = spark.createDataFrame([(0.1, True), (0.4, False), (0.4, True), (0.9, False), (0.3, False)], "s double, e boolean")
-    up, down = (evaluation.auc(df.withColumn("s", F.col("s") * k), score="s", event="e").first().auc for k in (1, -1))
+    up, down = (order.auc(df.withColumn("s", F.col("s") * k), score="s", event="e").first().auc for k in (1, -1))
     assert up + down == pytest.approx(1.0)
-    assert evaluation.auc(df.where("e"), score="s", event="e").first().auc is None
+    assert order.auc(df.where("e"), score="s", event="e").first().auc is None
 
 
 def test_interpolation_by_position(spark):
