@@ -215,15 +215,6 @@ def test_domain_distance_tells_far_from_near(spark):
     assert got["far"] == next(r for r in shift.domain_distance(df.repartition(7), ["f", "g", "empty"], draws=60).collect() if r.country == "far")
 
 
-def test_logistic_is_at_its_optimum():
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 3))
-    y = (x[:, 0] + rng.normal(size=60) > 0.8).astype(int)
-    w = shift.logistic(x, y)
-    z, share = np.column_stack([x, np.ones(60)]), np.where(y == 1, 30 / y.sum(), 30 / (60 - y.sum()))
-    assert np.abs(z.T @ (share * (1 / (1 + np.exp(-z @ w)) - y)) + np.append(w[:3], 0)).max() < 1e-6
-
-
 def test_spectral_finds_a_planted_period(spark):
     t = np.arange(48)
     wave = 5 + 3 * np.sin(2 * np.pi * t / 12) + np.cos(2 * np.pi * t / 4)
