@@ -201,3 +201,15 @@ def model_family(name: Column, families: Mapping[str, str]) -> Column:
 def sorted_quantiles(*q: Column) -> Column:
     """The quantiles ascending and not below 0."""
     return F.transform(F.array_sort(F.array(*q)), lambda x: F.greatest(x, d(0)))
+
+
+def array_quantiles(samples: Column, levels: Sequence[float]) -> list[Column]:
+    """Interpolated quantiles of the numbers in an array (nulls and NaN apart); null where it has none."""
+    known = F.array_sort(F.transform(F.filter(samples, lambda x: x.isNotNull() & ~F.isnan(x)), lambda x: x.cast("double")))
+
+    def at(level: float) -> Column:
+        place = d(level) * (F.size(known) - 1)
+        low, high = (F.try_element_at(known, (f(place) + 1).cast("int")) for f in (F.floor, F.ceil))
+        return F.when(F.size(known) > 0, low + (place - F.floor(place)) * (high - low))
+
+    return [at(t) for t in levels]

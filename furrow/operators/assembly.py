@@ -31,15 +31,86 @@ def target_dates(seasons: DataFrame, aggregation: str, *, start: str = "sos", cu
     29 February is dropped, then the newest year of periods is kept and of it the first ``share`` (one at
     least). A null cutoff, or one before the start, gives no rows.
     """
-    length, last = PERIODS[aggregation], F.col(cutoff)
+    kept = target_array(F.col(start), F.col(cutoff), aggregation, share)
+    return seasons.select("*", F.posexplode(kept).alias("position", "target"))
+
+
+def target_array(start: Column, last: Column, aggregation: str, share: float = 1.0) -> Column:
+    """The period dates of :func:`target_dates` as one array; null where there are none to take."""
+    length = PERIODS[aggregation]
     step = {"daily": 1, "weekly": 7, "dekad": 10, "monthly": 31}[aggregation]
     back = F.date_sub(last, step * (length + 5))  # a multiple of the step, so that dekads end at the cutoff
     # A year and five periods always hold the newest ``length`` of them once leap days are out.
-    ticks = F.when(F.col(start).isNull(), _ticks(aggregation, back, last)).when(F.col(start) <= last, _ticks(aggregation, F.col(start), last))
+    ticks = F.when(start.isNull(), _ticks(aggregation, back, last)).when(start <= last, _ticks(aggregation, start, last))
     kept = F.filter(ticks, lambda x: ~((F.month(x) == 2) & (F.dayofmonth(x) == 29)))
     kept = F.slice(kept, F.greatest(F.size(kept) - length + 1, F.lit(1)), length)
     first = F.greatest(F.lit(1), F.floor(F.size(kept) * d(share)).cast("int"))
-    return seasons.select("*", F.posexplode(F.slice(kept, 1, first) if share < 1 else kept).alias("position", "target"))
+    return F.slice(kept, 1, first) if share < 1 else kept
+
+
+def _leap_days(day: Column) -> Column:
+    """How many 29ths of February there are up to a day."""
+    y = F.year(day)
+    before = y - 1
+    whole = F.floor(before / 4) - F.floor(before / 100) + F.floor(before / 400)
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    return whole + F.when(leap & (F.dayofyear(day) >= 60), 1).otherwise(0)
+
+
+def position(ticks: Column, day: Column, aggregation: str) -> Column:
+    """The place of the period of a day in an array of period dates, null outside (and on 29 February of a daily calendar)."""
+    first = F.element_at(ticks, 1)
+    if aggregation == "daily":
+        at = F.datediff(day, first) - (_leap_days(day) - _leap_days(first))
+        return F.when((at >= 0) & (at < F.size(ticks)) & ~((F.month(day) == 2) & (F.dayofmonth(day) == 29)), at.cast("int"))
+    at = F.size(F.filter(ticks, lambda t: t <= day)) - 1  # 52 dates at most
+    begin = F.element_at(ticks, F.greatest(at + 1, F.lit(1)))
+    end = F.add_months(begin, 1) if aggregation == "monthly" else F.date_add(begin, {"weekly": 7, "dekad": 10}[aggregation])
+    return F.when((at >= 0) & (day < end), at)
+
+
+def samples(seasons: DataFrame, daily: DataFrame, channels: Sequence[str], aggregation: str, *, keys: Sequence[str] = ("region", "year"), day: str = "day", start: str = "sos", cutoff: str = "cutoff", share: float = 1.0) -> DataFrame:
+    """``seasons`` with ``series``: an array on the target calendar of (target, mask, channels), mask false and channels null where a period has no day.
+
+    A period has the mean of its days. Rows are dealt by the keys once: place, period mean and array all follow from
+    that exchange. Days outside their season, and seasons without a calendar (series null), add nothing; days of a key without a season are left out.
+    A null in a key matches nothing.
+    """
+    calendar = seasons.withColumn("ticks_", target_array(F.col(start), F.col(cutoff), aggregation, share))
+    rows = daily.select(*keys, F.col(day).alias("day_"), *channels).join(calendar.select(*keys, F.col(cutoff).alias("cutoff_"), "ticks_"), list(keys)).where("day_ <= cutoff_")
+    placed = rows.withColumn("at_", position(F.col("ticks_"), F.col("day_"), aggregation)).where("at_ IS NOT NULL")
+    means = placed.groupBy(*keys, "at_").agg(*[F.avg(x).alias(x) for x in channels])
+    taken = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at_", F.struct(*channels)))).alias("seen_"))  # a season's periods
+    at = lambda k: F.try_element_at("seen_", k)
+    series = F.transform("ticks_", lambda t, k: F.struct(t.alias("target"), F.coalesce(at(k).isNotNull(), F.lit(False)).alias("mask"), *[at(k)[x].alias(x) for x in channels]))
+    return calendar.join(taken, list(keys), "left").withColumn("series", series).drop("ticks_", "seen_")
+
+
+def statics(
+    samples: DataFrame, soil: DataFrame, location: DataFrame, *, region: str = "region", properties: Sequence[str] = ("awc", "bulk_density"), start: str = "sos", end: str = "eos", cutoff: str = "cutoff"
+) -> DataFrame:
+    """``samples`` with ``statics``, a struct of doubles: soil properties, latitude, longitude, the calendar as sine and cosine of both day numbers, cutoff day and season length.
+
+    A region without a soil or location row, and a sample without a date, has nulls there. Of several rows of a region the one that sorts first counts.
+    """
+    one = lambda df, names, tag: df.groupBy(region).agg(F.min(F.struct(*[F.col(n).cast("double").alias(n) for n in names])).alias(tag))
+    rows = samples.join(one(soil, properties, "soil_"), region, "left").join(one(location, ("latitude", "longitude"), "place_"), region, "left")
+    turn = lambda x: F.dayofyear(x) * d(6.283185307179586) / d(365)
+    parts = [F.col("soil_")[n].alias(n) for n in properties] + [F.col("place_")[n].alias(n) for n in ("latitude", "longitude")]
+    parts += [f(turn(F.col(x))).alias(f"{n}_{k}") for n, x in (("sos", start), ("eos", end)) for k, f in (("sin", F.sin), ("cos", F.cos))]
+    parts += [F.dayofyear(cutoff).cast("double").alias("cutoff_day"), F.datediff(F.col(end), F.col(start)).cast("double").alias("season_length")]
+    return rows.withColumn("statics", F.struct(*parts)).drop("soil_", "place_")
+
+
+def union_first(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Both tables, one row per key: rows of ``old`` come before those of ``new``, then the smallest in ``order``; columns of one table are null in the other's rows.
+
+    Keys compare as they are (null equals null). The least row is found while rows are combined, without a sort of a key's rows.
+    """
+    both = old.withColumn("side_", F.lit(0)).unionByName(new.withColumn("side_", F.lit(1)), allowMissingColumns=True)
+    names = [x for x in both.columns if x not in (*keys, "side_")]
+    kept = both.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("side_", *order)).alias("row_"))
+    return kept.select(*[k for k in both.columns if k in keys], *[F.col("row_")[n].alias(n) for n in names])
 
 
 def tabular(samples: DataFrame, daily: DataFrame, *, keys: Sequence[str] = ("region", "year"), means: Sequence[str] = ("tmin", "tmax", "tavg"), sums: Sequence[str] = ("prec", "rad")) -> DataFrame:
