@@ -53,7 +53,7 @@ def operational(frame: DataFrame, *, sigmas: Sequence[float] = (0.5, 1.0), true:
     precision, recall = none(c.ratio(F.col("h"), F.col("a"))), none(c.ratio(F.col("h"), F.col("e")))
     out = t.select("k", "n", c.ratio(F.col("e"), F.col("n")).alias("base_rate"), F.when(some, precision).alias("precision"), F.when(some, recall).alias("recall"), F.when(some, none(c.ratio(2 * precision * recall, precision + recall))).alias("f1"))
     for name, score in (("auc", "by_pred"), ("auc_low", "by_low")):
-        out = out.join(order.auc(rows, score=score, event="event", by=["k"]).select("k", F.col("auc").alias(name)), "k")
+        out = out.join(order.auc(rows, score=score, event="event", by=["k"]).select("k", F.col("auc").alias(name)), "k", "left")
     return out
 
 
