@@ -1,12 +1,14 @@
 """License scans with ordered signature rules.
 
-A rule is a hand-written regular expression over the text's words (lower-case, joined by single
+A rule is a regular expression over the text's words (lower-case, joined by single
 blanks), with a priority and a confidence. It is tried where the literals that its expression needs,
 which are read off the expression itself, all occur.
-Detections are taken in order of priority, then length, then place; one that lies within an interval
-taken before is suppressed. Base phrases are searched besides and always count.
+Some 200 rules are notices, sentences and addresses written by hand; the others put each of 130 names into the phrases that licenses are
+named by. Detections are taken in order of priority, then length, then place; one that lies within an interval
+taken before is suppressed. A list (``A or B``, ``A and B licenses``) adds the names that follow a detection. Base phrases are searched besides and always count.
 
-Defined results: a null or wordless text has no words, no labels and score 0; score is the highest
+Defined results: a null or wordless text has no words, no labels and score 0; rows that repeat an id are each scanned; a null id is kept; a long text is scanned whole; an
+empty table gives an empty result; only the named columns are read, so other columns can have any name; score is the highest
 confidence among the detections that stay.
 """
 
@@ -20,6 +22,7 @@ from re import _constants as constants
 from re._parser import parse
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +76,44 @@ SENTENCES = (
 )
 
 
+# Further notices, headers and addresses as they stand in files: label, expression, confidence. Fixed wordings; under 0.7 they give way to a named version.
+NOTICES = (
+    ("gpl", r"(?:the )?gnu general public licen[cs]e", 0.65), ("lgpl", r"(?:the )?gnu lesser general public licen[cs]e", 0.65), ("lgpl", r"(?:the )?gnu library general public licen[cs]e", 0.65), ("agpl", r"(?:the )?gnu affero general public licen[cs]e", 0.65),
+    ("gfdl", r"(?:the )?gnu free documentation licen[cs]e", 0.65), ("mpl", r"(?:the )?mozilla public licen[cs]e", 0.65), ("epl", r"(?:the )?eclipse public licen[cs]e", 0.65), ("cpl", r"(?:the )?common public licen[cs]e", 0.65), ("cddl", r"(?:the )?common development and distribution licen[cs]e", 0.65),
+    ("eupl", r"(?:the )?european union public licen[cs]e", 0.65), ("sspl", r"(?:the )?server side public licen[cs]e", 0.65), ("busl", r"(?:the )?business source licen[cs]e", 0.65), ("osl", r"(?:the )?open software licen[cs]e", 0.65), ("afl", r"(?:the )?academic free licen[cs]e", 0.65), ("artistic", r"(?:the )?artistic licen[cs]e", 0.65),
+    ("odbl", r"(?:the )?open database licen[cs]e", 0.65), ("ofl", r"(?:the )?open font licen[cs]e", 0.65), ("psf", r"(?:the )?python software foundation licen[cs]e", 0.65), ("ms-pl", r"(?:the )?microsoft public licen[cs]e", 0.65), ("ms-rl", r"(?:the )?microsoft reciprocal licen[cs]e", 0.65),
+    ("apsl", r"(?:the )?apple public source licen[cs]e", 0.65), ("npl", r"(?:the )?netscape public licen[cs]e", 0.65), ("qpl", r"(?:the )?q public licen[cs]e", 0.65), ("sissl", r"sun industry standards source licen[cs]e", 0.65), ("lppl", r"latex project public licen[cs]e", 0.65),
+    ("zpl", r"zope public licen[cs]e", 0.65), ("sleepycat", r"sleepycat licen[cs]e", 0.65), ("rpl", r"reciprocal public licen[cs]e", 0.65), ("nasa", r"nasa open source agreement", 0.65), ("ecl", r"educational community licen[cs]e", 0.65), ("cpal", r"common public attribution licen[cs]e", 0.65),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e along with this", 0.69), ("lgpl", r"you should have received a copy of the gnu lesser general public licen[cs]e along with this", 0.69), ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e along with this", 0.69),
+    ("gpl", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation", 0.69), ("lgpl", r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation", 0.69),
+    ("agpl", r"under the terms of the gnu affero general public licen[cs]e as published by the free software foundation", 0.69), ("lgpl", r"under the terms of the gnu library general public licen[cs]e as published by the free software foundation", 0.69),
+    ("gpl-2.0", r"either version 2 of the license or (?:at your option )?version 3", 0.9), ("gpl-2.0", r"version 2 of the license as published by the free software foundation", 0.9), ("gpl-3.0", r"version 3 of the license as published by the free software foundation", 0.9),
+    ("lgpl-2.1", r"either version 2 1 of the license or (?:at your option )?any later version", 0.95), ("lgpl-2.1", r"version 2 1 of the license as published by the free software foundation", 0.9), ("gpl-2.0", r"gnu org licenses old licenses gpl 2 0", 0.95), ("lgpl-2.1", r"gnu org licenses old licenses lgpl 2 1", 0.95),
+    ("gpl-3.0", r"gnu org licenses gpl 3 0", 0.95), ("lgpl-3.0", r"gnu org licenses lgpl 3 0", 0.95), ("agpl-3.0", r"gnu org licenses agpl 3 0", 0.95), ("lgpl", r"gnu org licenses lgpl", 0.85), ("agpl", r"gnu org licenses agpl", 0.85), ("gfdl", r"gnu org licenses fdl", 0.85), ("gpl", r"gnu org copyleft gpl", 0.85), ("lgpl", r"gnu org copyleft lesser", 0.85),
+    ("gpl-exception", r"as a special exception .{1,60}? gives? (?:you )?(?:unlimited )?permission to (?:link|copy)", 0.75), ("gpl-2.0-classpath", r"classpath exception", 0.8), ("gpl-linking", r"linking this library statically or dynamically with other modules", 0.85), ("linux-syscall", r"linux syscall note", 0.85),
+    ("mit", r"opensource org licenses mit", 0.95), ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.75), ("mit", r"mit license see license", 0.9), ("mit", r"licensed mit", 0.85), ("mit", r"license mit", 0.9), ("mit", r"mit opensource org", 0.9),
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use", 0.95), ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 0.7),
+    ("mit-modern", r"permission to use copy modify and distribute this software and its documentation for any purpose", 0.8), ("hpnd", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 0.9), ("isc", r"opensource org licenses isc", 0.95), ("isc", r"isc license", 0.9),
+    ("isc", r"the software is provided as is and the author disclaims all warranties with regard to this software", 0.9), ("0bsd", r"opensource org licenses 0bsd", 0.95), ("bsd-2-clause", r"opensource org licenses bsd 2 clause", 0.95), ("bsd-3-clause", r"opensource org licenses bsd 3 clause", 0.95), ("bsd", r"opensource org licenses bsd license", 0.9),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", 0.85), ("bsd", r"redistributions in binary form must reproduce the above copyright notice", 0.85), ("bsd", r"use of this source code is governed by a bsd style license", 0.95), ("bsd", r"bsd style licen[cs]e", 0.8), ("bsd", r"licensed bsd", 0.8), ("bsd", r"license bsd", 0.8),
+    ("bsd-3-clause", r"neither the name of the copyright holder nor the names of its contributors", 0.95), ("bsd-3-clause", r"the name of the author may not be used to endorse or promote products", 0.9), ("bsd-2-clause-patent", r"bsd 2 clause patent", 0.9), ("bsd-clear", r"no express or implied licenses to any party s patent rights are granted", 0.9),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.95), ("apache-2", r"licensed to the apache software foundation asf under one or more contributor license agreements", 0.97), ("apache-2", r"opensource org licenses apache 2 0", 0.95), ("apache-2", r"apache org licenses license 2 0 txt", 0.98),
+    ("apache-1.1", r"apache org licenses license 1 1", 0.95), ("apache-1.0", r"apache org licenses license 1 0", 0.95), ("apache-1.1", r"this product includes software developed by the apache software foundation", 0.85), ("apache-2", r"license apache 2 0", 0.9), ("apache-2", r"aslv? ?2(?: 0)?", 0.75), ("apache-2", r"apache2 licen[cs]e", 0.85), ("apache-llvm", r"apache 2 0 with llvm exceptions?", 0.95), ("llvm", r"llvm org license txt", 0.9),
+    ("mpl-2.0", r"mozilla org mpl 2 0", 0.98), ("mpl-1.1", r"mozilla org mpl 1 1", 0.95), ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", 0.98), ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license", 0.95), ("mpl-2.0", r"incompatible with secondary licenses as defined by the mozilla public license", 0.95), ("mpl", r"mozilla org mpl", 0.8),
+    ("epl-1.0", r"eclipse org legal epl v10", 0.98), ("epl-2.0", r"eclipse org legal epl 2 0", 0.98), ("edl-1.0", r"eclipse org org documents edl v10", 0.98), ("cpl-1.0", r"opensource org licenses cpl1 0", 0.95), ("cddl-1.0", r"opensource org licenses cddl1", 0.95), ("cddl", r"glassfish dev java net public cddl", 0.9), ("eupl-1.2", r"joinup ec europa eu .{0,40}? eupl", 0.85), ("cecill", r"cecill info licences", 0.9),
+    ("boost-1.0", r"distributed under the boost software license", 0.95), ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.97), ("unlicense", r"unlicense org", 0.95), ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", 0.97), ("wtfpl", r"wtfpl net", 0.95), ("beerware", r"(?:beer ?ware)", 0.8), ("beerware", r"you can buy me a beer in return", 0.85),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", 0.9), ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications", 0.93), ("zlib", r"altered source versions must be plainly marked as such", 0.9), ("openssl", r"this product includes software developed by the openssl project", 0.95), ("openssl", r"this product includes cryptographic software written by eric young", 0.9),
+    ("artistic-2.0", r"opensource org licenses artistic 2 0", 0.95), ("artistic-2.0", r"perlfoundation org artistic license 2 0", 0.95), ("perl", r"you (?:can|may) redistribute it and or modify it under the same terms as perl", 0.95), ("php-3.01", r"php net license 3 01", 0.95), ("php-3.0", r"php net license 3 0", 0.95), ("ruby", r"ruby lang org .{0,20}? license", 0.85), ("psf-2.0", r"psf license agreement for python", 0.9), ("curl", r"curl haxx se docs copyright", 0.95), ("w3c", r"w3 org consortium legal", 0.85), ("unicode", r"unicode org copyright", 0.85),
+    ("ofl-1.1", r"scripts sil org ofl", 0.95), ("ofl-1.1", r"reserved font name", 0.8), ("odbl-1.0", r"opendatacommons org licenses odbl", 0.95), ("odc-by-1.0", r"opendatacommons org licenses by", 0.95), ("pddl-1.0", r"opendatacommons org licenses pddl", 0.95), ("ogl-3.0", r"nationalarchives gov uk doc open government licence version 3", 0.95), ("etalab-2.0", r"etalab (?:open )?licen[cs]e", 0.85), ("cdla", r"cdla (?:permissive|sharing)", 0.8),
+    ("public-domain", r"(?:this|the) (?:file|code|program|software|text|document|work|book) is (?:hereby )?(?:in|placed in|released into|dedicated to) the public domain", 0.9), ("public-domain", r"no rights reserved", 0.75), ("public-domain", r"public domain mark", 0.8), ("public-domain", r"project gutenberg", 0.7), ("public-domain", r"i hereby place .{1,40}? in the public domain", 0.9), ("public-domain", r"not subject to copyright protection", 0.75), ("us-government", r"work of the united states government", 0.8),
+    ("cc0-1.0", r"to the extent possible under law .{1,120}? has waived all copyright", 0.95), ("cc0-1.0", r"cc zero", 0.8), ("cc0-1.0", r"cc0", 0.85), ("cc", r"some rights reserved", 0.6), ("cc", r"licensed under a creative commons licen[cs]e", 0.8), ("cc", r"creative commons licen[cs]e", 0.65), ("cc", r"creativecommons org licenses", 0.65),
+    ("proprietary", r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document)", 0.8), ("proprietary", r"this software is (?:the )?(?:confidential|proprietary) (?:and proprietary )?information", 0.85), ("proprietary", r"end user licen[cs]e agreement", 0.7), ("proprietary", r"no part of this (?:publication|document|book|work) may be reproduced", 0.85), ("proprietary", r"for internal use only", 0.65), ("proprietary", r"trade secrets?", 0.5), ("proprietary", r"not for redistribution", 0.65),
+    ("non-commercial", r"for non ?commercial (?:use|purposes?) only", 0.8), ("non-commercial", r"free for (?:personal|academic|non ?commercial) use", 0.75), ("research-only", r"for research (?:use|purposes?) only", 0.8), ("no-ai-training", r"may not be used (?:to train|for training)", 0.75), ("llama", r"llama (?:2|3|3 1|3 2)? ?community licen[cs]e agreement", 0.9), ("openrail", r"use based restrictions", 0.7), ("gemma", r"gemma terms of use", 0.9),
+    ("commons-clause", r"commons clause", 0.85), ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", 0.95), ("busl-1.1", r"change date .{1,80}? change license", 0.9), ("sspl-1.0", r"offering the software as a service", 0.6), ("json", r"the software shall be used for good not evil", 0.98), ("dual", r"dual licen[cs]ed", 0.6), ("freeware", r"this (?:program|software) is freeware", 0.75), ("shareware", r"this (?:program|software) is shareware", 0.75),
+    ("unknown-license", r"distributed under (?:the )?(?:same )?licen[cs]e", 0.4), ("unknown-license", r"this (?:file|program|software|work) is licen[cs]ed under", 0.4), ("unknown-license", r"licen[cs]e agreement", 0.4), ("unknown-license", r"permission is (?:hereby )?granted", 0.4), ("unknown-license", r"released under an? open source licen[cs]e", 0.5), ("unknown-license", r"terms and conditions for use reproduction and distribution", 0.5),
+)
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -120,6 +161,18 @@ def needs(pattern: str) -> tuple[tuple[bytes, ...], ...]:
     return tuple(tuple(x.encode() for x in c) for c in every if min(map(len, c)) > 1 or c == every[0])
 
 
+def _names() -> list[tuple[str, str]]:
+    """All licenses with a name: label, expression."""
+    versions = [(f"cc-{k}-{v.replace(' ', '.')}", rf"(?:cc|creative commons) {n}(?: {v}| licen[cs]e {v})") for k, n in _CC for v in _CC_VERSIONS]
+    return [*NAMES, ("artistic", "artistic"), *versions, *((f"cc-{k}", rf"(?:cc|creative commons) {n}") for k, n in _CC)]
+
+
+@lru_cache(maxsize=1)
+def _listed() -> tuple[tuple[str, float, re.Pattern], ...]:
+    """What may follow a license in a list: ``or`` or ``and``, and a name."""
+    return tuple((label, 0.8 if re.search(r"\d", label) else 0.6, re.compile(rf"(?:or|and) (?:the )?{name}(?: licen[cs]es?)?(?= )".encode())) for label, name in _names())
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: full notices and tags, then sentences, then titles."""
@@ -128,37 +181,44 @@ def rules() -> tuple[Rule, ...]:
     def add(label: str, priority: int, score: float, pattern: str) -> None:
         out.append(Rule(label, priority, score, needs(pattern), re.compile(rf"(?<= ){pattern}(?= )".encode())))
 
-    names = [*NAMES, *((f"cc-{k}-{v.replace(' ', '.')}", rf"(?:cc|creative commons) {n}(?: {v}| licen[cs]e {v})") for k, n in _CC for v in _CC_VERSIONS), *((f"cc-{k}", rf"(?:cc|creative commons) {n}") for k, n in _CC)]
-    for label, name in names:
+    for label, name in _names():
         exact = bool(re.search(r"\d", label))
         add(label, 40 - (not exact), 0.99 if exact else 0.9, rf"(?:re)?licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:gnu )?{name}(?: licen[cs]e)?")
         add(label, 38 - (not exact), 0.98, rf"spdx license identifier {name}(?: (?:only|or later))?")
-        add(label, 20 - (not exact), 0.8 if exact else 0.6, rf"(?:the )?{name} licen[cs]e(?: {_V}\d(?: \d)?)?")
+        add(label, 20 - (not exact), 0.8 if exact else 0.6, rf"(?:the )?{name} licen[cs]e[ds]?(?: {_V}\d(?: \d)?)?")
+        add(label, 19, 0.6, rf"under (?:the )?{name} (?:and|or)")
         if exact and len(label) > 4:
             add(label, 21, 0.7, name)
     for k, _ in _CC:
         for v in _CC_VERSIONS:
             add(f"cc-{k}-{v.replace(' ', '.')}", 39, 0.99, rf"creativecommons org licenses {k.replace('-', ' ')} {v}")
-    for label, pattern, score in SENTENCES:
+    for k, n in _CC:
+        add(f"cc-{k}", 18, 0.7, rf"cc {n}")
+    for label, pattern, score in (*SENTENCES, *NOTICES):
         add(label, 30 if score >= 0.7 else 10, score, pattern)
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @lru_cache(maxsize=1)
-def _by_first_need() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule], ...]], ...]:
-    out: dict = {}
+def _gate() -> tuple[ahocorasick.Automaton, tuple[tuple[tuple[int, Rule], ...], ...]]:
+    """An automaton over the literals that a rule needs first, and the rules of each literal."""
+    by: dict[bytes, list] = {}
     for k, r in enumerate(rules()):
-        out.setdefault(r.needs[0], []).append((k, r))
-    return tuple((c, tuple(v)) for c, v in out.items())
+        for x in r.needs[0]:
+            by.setdefault(x, []).append((k, r))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, x in enumerate(by):
+        automaton.add_word(x.decode("latin-1"), k)
+    automaton.make_automaton()
+    return automaton, tuple(map(tuple, by.values()))
 
 
 def candidates(padded: bytes) -> list[Rule]:
     """The rules whose literals occur, in order; no other rule can match."""
-    found = []
-    for first, some in _by_first_need():
-        if any(x in padded for x in first):
-            found += [(k, r) for k, r in some if all(any(x in padded for x in c) for c in r.needs[1:])]
-    return [r for _, r in sorted(found, key=lambda f: f[0])]
+    automaton, by = _gate()
+    seen = {k for _, k in automaton.iter(padded.decode("latin-1"))}
+    found = {k: r for x in seen for k, r in by[x] if all(any(y in padded for y in c) for c in r.needs[1:])}
+    return [found[k] for k in sorted(found)]
 
 
 _CLEAN = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -179,6 +239,27 @@ def detect(padded: bytes) -> list[Found]:
     return kept
 
 
+def listed(padded: bytes, kept: list[Found]) -> list[Found]:
+    """Licenses that a list adds behind a detection (``Apache-2.0 OR MIT``): at each place the longest name, the first label among equals, until none follows.
+
+    A name that lies within a detection is not added again.
+    """
+    out: list[Found] = []
+    for h in kept:
+        word = padded[padded.rindex(b" ", 0, h.end) : h.end]
+        at = h.end - len(word) * (word in (b" and", b" or"))  # a rule may end with the list's first link
+        while padded[at + 1 : at + 4] == b"or " or padded[at + 1 : at + 5] == b"and ":
+            found = [(m.end(), -k, label, score, p) for k, (label, score, p) in enumerate(_listed()) if (m := p.match(padded, at + 1))]
+            if not found:
+                break
+            end, _, label, score, pattern = max(found, key=lambda f: f[:2])
+            begin = padded.index(b" ", at + 1) + 1
+            if not any(o.start <= begin and end <= o.end for o in (*kept, *out)):
+                out.append(Found(begin, end, Rule(label, 0, score, (), pattern)))
+            at = end
+    return out
+
+
 def scan(text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of one text."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
@@ -190,6 +271,7 @@ def scan(text: str | None) -> tuple:
             places.append(at)
             base.add(label)
     kept = detect(padded)
+    kept += listed(padded, kept)
     if not places and not kept:
         return len(tokens), 0, None, None, "", "", 0.0, []
     blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
