@@ -447,12 +447,13 @@ def test_sql_twins(spark, sf):
     for t in ("documents", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
-        want = db.sql(sql).df()
-        got = queries.queries()[name](spark, sf).toPandas()
+        want, got = db.sql(sql), queries.queries()[name](spark, sf)
         columns = sorted(want.columns)
         assert columns == sorted(got.columns)
-        a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (want, got))
-        assert a.equals(b), name
+        # values, not frames: a data frame shows a nullable integer as a float on one side only
+        a = db.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        b = [tuple(r) for r in got.select(*columns).collect()]
+        assert sorted(a, key=str) == sorted(b, key=str), name
 
 
 def test_pipeline(spark, sf, docs):
