@@ -155,12 +155,13 @@ def beta_response(t: Column, low: float, best: float, high: float) -> Column:
 
 
 def calendar_encodings(day: Column, start: Column, end: Column) -> dict[str, Column]:
-    """Sine and cosine of day of year, month and place in the season; zeros without a season."""
+    """Sine and cosine of day of year, month and place in the season; the place has zeros where the season isn't known."""
     two_pi = d(6.283185307179586)
     place = F.least(F.greatest(F.datediff(day, start) / F.greatest(F.datediff(end, start), F.lit(1)), d(0)), d(1))
     parts = {"doy": F.dayofyear(day) / d(365), "month": (F.month(day) - 1) / d(12), "season": place}
+    out = {f"{k}_{n}": f(two_pi * v) for k, v in parts.items() for n, f in (("sin", F.sin), ("cos", F.cos))}
     known = start.isNotNull() & end.isNotNull()
-    return {f"{k}_{n}": F.when(known, f(two_pi * v)).otherwise(d(0)) for k, v in parts.items() for n, f in (("sin", F.sin), ("cos", F.cos))}
+    return {k: F.when(known, v).otherwise(d(0)) if k.startswith("season") else v for k, v in out.items()}
 
 
 def exponential_weight(year: Column, newest: Column, tau: float) -> Column:
