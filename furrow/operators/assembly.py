@@ -170,3 +170,73 @@ def fill_padding(series: DataFrame, keys: Sequence[str], channels: Sequence[str]
     """``series`` with padded steps (mask not true) set to the mean of the sample's real ones, 0 without any."""
     w, real = Window.partitionBy(*keys), F.coalesce(F.col(mask), F.lit(False))
     return series.withColumns({x: F.when(real, F.col(x)).otherwise(F.coalesce(F.avg(F.when(real, F.col(x))).over(w), d(0))) for x in channels})
+
+
+# --- region features, key sets, lookups
+
+#: Number columns that tell a time and are no features.
+TIME_NAMES = ("harvest_year", "year", "date", "dates")
+
+
+def numeric_features(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
+    """The number columns that neither tell a time nor are in ``skip``, in the table's order; no job runs."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return [n for n, t in df.dtypes if (t in numbers or t.startswith("decimal")) and n not in (*TIME_NAMES, *skip)]
+
+
+def region_features(sources: Mapping[str, DataFrame], targets: DataFrame, keys: Sequence[str] = ("country", "region")) -> DataFrame:
+    """(keys, ``source_column`` means) of every region of ``targets`` that some source has; null where a source lacks it.
+
+    The sources' rows meet in one aggregation, with partial means before its exchange, in place of a chain of outer joins. NaN is no value.
+    """
+    rows, names = None, []
+    for tag, df in sources.items():
+        own = {f"{tag}_{x}": F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")) for x in numeric_features(df, keys)}
+        names += own
+        part = df.select(*keys, *[v.alias(k) for k, v in own.items()])
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    means = rows.groupBy(*keys).agg(*[F.avg(x).alias(x) for x in names])
+    return means.join(targets.select(*keys), list(keys), "left_semi")
+
+
+def key_sides(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, side): 'both', 'left' or 'right' for each distinct key of either table; null equals null."""
+    both = a.select(*keys, F.lit(1).alias("side_")).unionByName(b.select(*keys, F.lit(2).alias("side_")))
+    sides = both.groupBy(*keys).agg(F.bit_or("side_").alias("side_"))
+    return sides.select(*keys, F.when(F.col("side_") == 3, "both").when(F.col("side_") == 1, "left").otherwise("right").alias("side"))
+
+
+def key_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, both, only_left, only_right, jaccard) of two tables' distinct keys, ``by`` being some of them; jaccard is null where both are empty."""
+    n = lambda side: F.count(F.when(F.col("side") == side, 1))
+    out = key_sides(a, b, keys).groupBy(*by).agg(n("both").alias("both"), n("left").alias("only_left"), n("right").alias("only_right"))
+    every = F.col("both") + F.col("only_left") + F.col("only_right")
+    return out.withColumn("jaccard", F.when(every > 0, F.col("both") / every))
+
+
+def prediction_rows(batches: DataFrame, identity: Sequence[str], levels: Sequence[float] = (), *, year: str = "year", regions: str = "regions", targets: str = "targets", preds: str = "preds", quantiles: str = "quantiles") -> DataFrame:
+    """(identity, year, region, y_true, y_pred, q*): batches of arrays laid out, a row for each prediction.
+
+    ``quantiles`` is an array of arrays in the order of ``levels``. A batch without predictions gives no rows; a shorter array of
+    regions, targets or quantiles gives nulls, and what one has beyond the predictions is left out.
+    """
+    at = lambda name: F.try_element_at(name, F.col("i_") + 1)
+    laid = batches.select("*", F.posexplode(preds).alias("i_", "p_"))
+    q = [F.try_element_at(at(quantiles), F.lit(k + 1)).cast("double").alias(f"q{round(100 * t)}") for k, t in enumerate(levels)]
+    return laid.select(*identity, F.col(year).cast("int").alias("year"), at(regions).alias("region"), at(targets).cast("double").alias("y_true"), F.col("p_").cast("double").alias("y_pred"), *q)
+
+
+def label_lookups(samples: DataFrame, suitability: DataFrame, climate: DataFrame, crop: str, *, region: str = "region", order: str = "line") -> DataFrame:
+    """``samples`` with suitability_code and climate_label of their region, null without one.
+
+    Of several rows of a region the last in ``order`` counts. Suitability rows without a code, and climate rows of other crops or without data, don't count.
+    """
+    last = lambda df, x, out: df.groupBy(region).agg(F.max_by(x, order).alias(out))
+    code = last(suitability.where("raw_class_code IS NOT NULL").withColumn("code_", F.col("raw_class_code").cast("double")), "code_", "suitability_code")
+    label = last(climate.where((F.col("crop") == crop) & F.col("climate_label").isNotNull() & (F.col("climate_label") != "NoData")), "climate_label", "climate_label")
+    return samples.join(code, region, "left").join(label, region, "left")
+
+
+def dataset_years(targets: DataFrame, by: Sequence[str] = ("crop", "country"), *, year: str = "year") -> DataFrame:
+    """(by, years): the distinct years of each data set, in order."""
+    return targets.where(F.col(year).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_set(F.col(year).cast("int"))).alias("years"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.columns import d
+from furrow.functions.columns import calendar_encodings, d
 
 
 def period_key(day: Column, period: str, start: Column | None = None) -> Column:
@@ -62,6 +62,33 @@ def clean_sensor(df: DataFrame, keys: Sequence[str], value: str, valid: tuple[fl
     return df.withColumn(value, F.when(v.between(*valid), F.least(F.greatest(v, d(clip[0])), d(clip[1]))))
 
 
+#: The range of real readings, beyond which a reading is a sentinel, and the range they are held in.
+SENSORS = {
+    "fpar": ((-0.1, 1.05), (0.0, 1.0)),
+    "ndvi": ((-0.5, 1.05), (0.1, 1.0)),
+    "ssm": ((-0.1, 1.05), (0.0, 1.0)),
+    "rsm": ((-0.1, 1.05), (0.0, 1.0)),
+}
+
+
+def sensor_series(df: DataFrame, keys: Sequence[str], day: str, value: str, sensor: str) -> DataFrame:
+    """Readings of a sensor made whole: sentinels and NaN out, gaps filled linearly by position (ends take the nearest), then clipped.
+
+    Where a key's greatest fpar says percent, all of its readings are divided by 100. A key without a real reading stays null.
+    """
+    real, held = SENSORS[sensor]
+    known = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))
+    masked = clean_sensor(known, keys, value, real, real, percent_above=real[1] if sensor == "fpar" else None)
+    v = F.col(value)
+    return interpolate(masked, keys, day, value).withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, d(held[0])), d(held[1]))))
+
+
+def soil_moisture(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
+    """Linear gap filling by position, then nothing below 0; there is no upper limit and no sentinel."""
+    v = F.col(value)
+    return interpolate(df, keys, day, value).withColumn(value, F.when(v.isNotNull(), F.greatest(v, d(0))))
+
+
 def resample(df: DataFrame, keys: Sequence[str], day: str, aggs: dict[str, Column], period: str) -> DataFrame:
     """One row per key and period."""
     start = F.min(day).over(Window.partitionBy(*keys)) if period == "dekad" else None
@@ -78,6 +105,25 @@ def moving_average(df: DataFrame, keys: Sequence[str], day: str, value: str, ker
     return df.withColumn("trend", total / d(2 * h + 1)).withColumn("rest", F.col(value) - F.col("trend"))
 
 
+def masked_moving_average(df: DataFrame, keys: Sequence[str], day: str, value: str, observed: str, kernel: int) -> DataFrame:
+    """``trend`` (centred mean of the observed steps among ``kernel``, an odd number; 0 where none is) and ``rest``.
+
+    Steps that aren't observed and those beyond the ends have no weight.
+    """
+    frame = Window.partitionBy(*keys).orderBy(day).rowsBetween(-(kernel // 2), kernel // 2)
+    seen = F.when(F.col(observed) & F.col(value).isNotNull(), F.col(value).cast("double"))
+    return df.withColumn("trend", F.coalesce(F.avg(seen).over(frame), d(0))).withColumn("rest", F.col(value) - F.col("trend"))
+
+
+def binned_encodings(df: DataFrame, keys: Sequence[str], day: str, start: Column, end: Column, period: str) -> DataFrame:
+    """(keys, period, encodings): the calendar encodings' mean of a period's days, for every period from a key's first to its last; null in one without a day."""
+    made = calendar_encodings(F.col(day), start, end)
+    means = resample(df.withColumns(made), keys, day, {k: F.avg(k) for k in made}, period)
+    step = {"daily": F.make_interval(days=F.lit(1)), "weekly": F.make_interval(days=F.lit(7)), "dekad": F.make_interval(days=F.lit(10)), "monthly": F.make_interval(months=F.lit(1))}[period]
+    bins = means.groupBy(*keys).agg(F.min("period").alias("a_"), F.max("period").alias("b_")).select(*keys, F.explode(F.sequence("a_", "b_", step)).alias("period"))
+    return bins.join(means, [*keys, "period"], "left")
+
+
 def instance_norm(df: DataFrame, keys: Sequence[str], value: str, out: str = "normed") -> DataFrame:
     w = Window.partitionBy(*keys)
     return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.sqrt(F.var_pop(value).over(w) + d(1e-8)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as c
 from furrow.operators import comparison, contract, evaluation, features, multiyear, order, reference, series, shift, spectral, splits, tiers
-from furrow.plans import assembly, evaluation as whole_evaluation, intervals, protocol, registry, results  # noqa: F401
+from furrow.plans import assembly, evaluation as whole_evaluation, inputs, intervals, protocol, registry, results  # noqa: F401
 from furrow.sources import tables
 from furrow.streaming import events
 
