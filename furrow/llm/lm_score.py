@@ -4,22 +4,26 @@ A text's tokens (lower-cased words and an end mark) are coded as binary decision
 most frequent successor of its two words before, in the training corpus? If not: is it the word that last
 followed the word before in this text? If not, the bits of its frequency class follow (class k holds the
 words with 2^(k-1) to 2^k - 1 training occurrences), then the word's share of its class; a word without
-training occurrences has class 0 and is spelled by byte pairs.
+training occurrences has class 0 and is spelled by the bits of its bytes.
 
 Three predictors give each decision a probability, looked up by contexts of growing order: for candidates
 how often they were seen, what became of the last ones in this text, and the classes around; for class bits
-the place in the class code alone, with the class before, with the two classes before. Weights that a gate
-selects mix the stretched predictions, and are refined while a text is read, after each ``BLOCK`` tokens.
+the place in the class code alone, with the class before, with the two classes before; for a byte's bits the
+hashed one, two and three bytes before. Weights that a gate selects mix the stretched predictions. They start
+alike for every text, and are refined while it is read, after each ``BLOCK`` tokens.
 The text's own words serve as candidates as soon as they were read.
 
 What is gathered grows with the corpus: words and successors are counted over all training documents in
 hash buckets. Documents are packed into chunks; a chunk sends a bucket the distinct keys it holds, in one
 row, and gets their counts back, so that the most frequent word costs a chunk one entry and no bucket or
-chunk is larger than its parameter says. Predictor tables and start weights are sums over all chunks.
+chunk is larger than its parameter says. Predictor tables are sums over all chunks, so that scores don't
+depend on how documents are dealt to chunks.
 Rows grow with the number of chunks times that of buckets; raise both sizes with the executors' memory.
 
-A training document is scored with its own occurrences taken out of the counts, as if it were unseen (the
-base isn't: that is defined over all training tokens). Words are compared by 64-bit hashes, successors by 24 bits,
+A training document is scored with its own occurrences taken out of the counts, the candidates' and the
+classes' totals included, as if it were unseen (the base isn't: that is defined over all training tokens, and the
+predictor tables hold every document). For each context a chunk asks for one successor more than any of its
+documents has, so that the most frequent of the others is always among them. Words are compared by 64-bit hashes, successors by 24 bits,
 contexts by 28 bits within their bucket.
 
 Defined results: null and empty texts are one end token; a null id counts as the empty text for the fold;
@@ -44,22 +48,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, sum_vectors, vector_blocks
+from .common import BLOCK as VECTOR_BLOCK, shared_folder, sum_vectors, vector_blocks
 
 FOLDS = 10
 END = b""
 #: Bytes of text of a chunk (about six a token), and keys of a bucket.
 CHUNK, BUCKET = 3_000_000, 1_000_000
-#: Tokens between two updates of the weights, and the rates of an update while scoring and while learning the start weights.
-BLOCK, RATE, LEARN = 16, 0.02, 0.3
-#: Gates: 4 of successors, 2 of local words, the rest by depth of a class bit.
-GATES, DEPTHS = 16, 10
-#: Classes are at most 2^6; tables hold the class bits' contexts and behind them the candidates'.
+#: Tokens between two updates of the weights, the rate of an update, and the weight that each predictor starts with.
+BLOCK, RATE, START = 16, 0.02, 0.4
+#: Gates: 4 of successors, 2 of local words, 6 by depth of a class bit, 8 by place of a bit in its byte.
+_BITS = 12
+GATES = _BITS + 8
+#: Classes are at most 2^6; tables hold the class bits' contexts, behind them the candidates', then those of spelled bits.
 _CLASS = 64
 _SIDE = _CLASS**3
-SLOTS = _SIDE + 4096
+_SPELL = _SIDE + 4096
+SPELLED = 17
+SLOTS = _SPELL + (1 << SPELLED)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_PAIRS = 257 * 256
 
 
 def tokens_in(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -103,12 +109,17 @@ def steps(x: np.ndarray) -> np.ndarray:
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows written as a table in buckets of their chunk: what several such tables say of a chunk is joined without a shuffle."""
+    """The rows written in buckets of their chunk: what several such tables say of a chunk is joined without a shuffle.
+
+    The catalogue forgets the table once it was looked up; its files stay in ``folder``.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"scores_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(n, "chunk").option("path", f"{folder}/{name}").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 # --- chunks of documents
@@ -207,6 +218,18 @@ class Chunk:
         starts = runs(pairs)
         return pairs[starts] >> 24, pairs[starts] & 0xFFFFFF, np.diff(starts, append=len(pairs))
 
+    def wanted(self) -> np.ndarray:
+        """How many successors of a context must be known: one more than a training document here has distinct ones, 1 without any."""
+        at = self.by_context[self.training[self.by_context]]
+        place, starts = self.place[at], runs(self.place[at], self.doc[at])
+        sizes = np.diff(starts, append=len(at))
+        again = np.repeat(sizes > 1, sizes)
+        run = np.repeat(np.arange(len(starts)), sizes)[again]
+        distinct = np.bincount(np.unique((run << 24) | self.short[at][again]) >> 24, minlength=len(starts))
+        out = np.ones(len(self.contexts), np.uint32)
+        np.maximum.at(out, place[starts], 1 + np.maximum(distinct, 1).astype(np.uint32))
+        return out
+
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.training], minlength=len(self.hashes))
 
@@ -267,7 +290,8 @@ def classes(counts: np.ndarray) -> np.ndarray:
 
 
 def successor_requests(packed: DataFrame, bits: int) -> DataFrame:
-    """(bucket, chunk, keys, sizes, next, n): a chunk's contexts in a bucket with their training successors (``sizes`` of each context) and counts."""
+    """(bucket, chunk, keys, want, sizes, next, n): a chunk's contexts in a bucket, how many successors it asks for, and its own training successors (``sizes`` of each context) with counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows_of(b):
@@ -281,32 +305,25 @@ def successor_requests(packed: DataFrame, bits: int) -> DataFrame:
                 used = np.flatnonzero(np.diff(at)).tolist()
                 cut = lambda x, ends, f=np.asarray: pa.array([squeezed(f(x[ends[k] : ends[k + 1]])) for k in used], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([row["chunk"]] * len(used), pa.int64()), cut(key32, at, steps), cut(sizes, at), cut(after.astype(np.uint32), behind), cut(n.astype(np.uint32), behind)],
-                    names=["bucket", "chunk", "keys", "sizes", "next", "n"],
+                    [pa.array(used, pa.int32()), pa.array([row["chunk"]] * len(used), pa.int64()), cut(key32, at, steps), cut(c.wanted(), at), cut(sizes, at), cut(after.astype(np.uint32), behind), cut(n.astype(np.uint32), behind)],
+                    names=["bucket", "chunk", "keys", "want", "sizes", "next", "n"],
                 )
 
-    return packed.mapInArrow(run, "bucket int, chunk bigint, keys binary, sizes binary, next binary, n binary")
+    return packed.mapInArrow(run, "bucket int, chunk bigint, keys binary, want binary, sizes binary, next binary, n binary")
 
 
-def most_frequent(owner: np.ndarray, after: np.ndarray, n: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the most frequent successor, its count, the others' count) of each context, from distinct pairs in order; zeros without any. Ties: the larger bits."""
-    best, most, others = (np.zeros(contexts, np.int64) for _ in range(3))
-    if len(owner):
-        starts = runs(owner)
-        top = np.maximum.reduceat((n << 24) | after, starts)
-        at = owner[starts]
-        best[at], most[at] = top & 0xFFFFFF, top >> 24
-        others[at] = np.add.reduceat(n, starts) - most[at]
-    return best, most, others
+def within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of several runs of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def successor_answers(table: pa.Table) -> pa.Table:
-    """For each asked context its most frequent successor, that one's count and the count of the others, as three runs; a row for each chunk.
+    """Of each asked context its successors' count, and as many as were asked for of the most frequent (ties: the larger bits) with theirs; a row for each chunk.
 
-    A context that has no training occurrence outside the asking chunk gets zeros: the chunk knows all of it.
+    A context that has no training occurrence outside the asking chunk gets none: the chunk knows all of it.
     """
     part = lambda name: [opened(x, np.uint32) for x in table.column(name).to_pylist()]
-    keys, sizes, n = [np.cumsum(x, dtype=np.uint32) for x in part("keys")], part("sizes"), part("n")
+    keys, want, sizes, n = [np.cumsum(x, dtype=np.uint32) for x in part("keys")], part("want"), part("sizes"), part("n")
     asked = np.concatenate(keys).astype(np.int64)
     order = ranked(asked)
     starts = runs(asked[order])
@@ -316,14 +333,41 @@ def successor_answers(table: pa.Table) -> pa.Table:
     order = ranked(owner, after)
     heads = runs(owner[order], after[order])
     sums = np.add.reduceat(each[order], heads) if len(heads) else each
-    best, most, others = most_frequent(owner[order][heads], after[order][heads], sums, len(starts))
+    owner, after = owner[order][heads], after[order][heads]
+    total = np.bincount(owner, sums, minlength=len(starts)).astype(np.int64)
+    known = np.bincount(owner, minlength=len(starts))
+    order = np.lexsort((-after, -sums, owner))  # from the most frequent on
+    after, sums, first = after[order], sums[order], np.cumsum(known) - known
     data, a = [], 0
-    for k, size, own in zip(keys, sizes, n):
+    for k, asks, size, own in zip(keys, want, sizes, n):
         mine = place[a : a + len(k)]
-        elsewhere = most[mine] + others[mine] > np.bincount(np.repeat(np.arange(len(k)), size), own, minlength=len(k))
-        data.append(squeezed(np.concatenate([(x[mine] * elsewhere).astype(np.uint32) for x in (best, most, others)])))
+        elsewhere = total[mine] > np.bincount(np.repeat(np.arange(len(k)), size), own, minlength=len(k))
+        given = np.where(elsewhere, np.minimum(known[mine], asks), 0)
+        at = np.repeat(first[mine], given) + within(given)
+        data.append(squeezed(np.concatenate([x.astype(np.uint32) for x in (given, total[mine] * elsewhere, after[at], sums[at])])))
         a += len(k)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "contexts": pa.array([len(k) for k in keys], pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+class Successors(NamedTuple):
+    """Of contexts in order: how many successors are listed, the count of all, and the lists' bits and counts."""
+
+    given: np.ndarray
+    total: np.ndarray
+    after: np.ndarray
+    n: np.ndarray
+
+
+def known_successors(c: Chunk, answered: Successors) -> Successors:
+    """The answers, and the chunk's own successors of the contexts that have none elsewhere."""
+    alone = answered.total == 0
+    owner, after, n = c.successors()
+    keep = alone[owner]
+    owner, after, n = owner[keep], after[keep], n[keep]
+    mine = np.bincount(owner, minlength=len(alone))
+    total = np.where(alone, np.bincount(owner, n, minlength=len(alone)).astype(np.int64), answered.total)
+    order = ranked(np.concatenate([np.repeat(np.arange(len(alone)), answered.given), owner]))
+    return Successors(answered.given + mine, total, np.concatenate([answered.after, after])[order], np.concatenate([answered.n, n])[order])
 
 
 # --- decisions
@@ -365,12 +409,34 @@ def _last_outcomes(c: Chunk, outcome: np.ndarray) -> np.ndarray:
     return one + 3 * two + 9 * three
 
 
-def decisions(c: Chunk, counts: np.ndarray, successors: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, only: np.ndarray | None = None) -> tuple[list[Part], np.ndarray, np.ndarray]:
+def candidates(c: Chunk, successors: Successors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the most frequent successor of each token's context, its count, the others' count), a training document's own occurrences taken out; zeros without any. Ties: the larger bits."""
+    listed = known_successors(c, successors)
+    at = c.by_context
+    starts = runs(c.place[at], c.doc[at])  # a context in one document
+    sizes = np.diff(starts, append=len(at))
+    run, place, training = np.repeat(np.arange(len(starts)), sizes), c.place[at[starts]], c.training[at[starts]]
+    given = listed.given[place]
+    entry = np.repeat((np.cumsum(listed.given) - listed.given)[place], given) + within(given)
+    owner, after = np.repeat(np.arange(len(starts)), given), listed.after[entry]
+    mine = training[run]
+    left = listed.n[entry] - _own((run[mine] << 24) | c.short[at[mine]], (owner << 24) | after)
+    best, most = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    some = np.flatnonzero(given)
+    if len(some):
+        top = np.maximum.reduceat((np.maximum(left, 0) << 24) | after, (np.cumsum(given) - given)[some])
+        best[some], most[some] = top & 0xFFFFFF, top >> 24
+    others = listed.total[place] - np.where(training, sizes, 0) - most
+    out = np.empty((3, len(at)), np.int64)
+    out[:, at] = np.repeat(np.stack([best * (most > 0), most, others]), sizes, axis=1)
+    return out[0], out[1], out[2]
+
+
+def decisions(c: Chunk, counts: np.ndarray, successors: Successors, depth: int, only: np.ndarray | None = None) -> tuple[list[Part], np.ndarray, np.ndarray]:
     """(parts, the count of each token as seen from its document, which tokens no candidate named); ``only``: the tokens that decisions are told of. Documents must be in order of falling length."""
     n = len(c.tokens)
-    alone = successors[1] == 0  # no occurrence elsewhere
-    best, most, others = (np.where(alone, mine, x)[c.place] for mine, x in zip(most_frequent(*c.successors(), len(c.contexts)), successors))
-    # a training document's own occurrences don't count: of the word,
+    best, most, others = candidates(c, successors)
+    # a training document's own occurrences of a word don't count
     at = ranked(c.tokens)
     starts = runs(c.tokens[at], c.doc[at])
     sizes = np.diff(starts, append=n)
@@ -380,18 +446,6 @@ def decisions(c: Chunk, counts: np.ndarray, successors: tuple[np.ndarray, np.nda
     past = np.full(n, -1, np.int64)  # where the token was before in its text
     past[at[1:]] = at[:-1]
     past[at[starts]] = -1
-    # and of the context with its successors
-    at, doc = c.by_context, c.doc[c.by_context]
-    starts = runs(c.place[at], doc)
-    sizes = np.diff(starts, append=n)
-    own[at] = np.repeat(sizes, sizes)
-    own_best = (best == c.short).astype(np.int64)
-    again = np.flatnonzero(own > 1)  # the context is there more than once in its text
-    run = np.empty(n, np.int64)
-    run[at] = np.repeat(np.arange(len(starts)), sizes)
-    own_best[again] = _own((run[again] << 24) | c.short[again], (run[again] << 24) | best[again])
-    own_best, own = np.where(c.training, own_best, 0), np.where(c.training, own, 0)
-    most, others = most - own_best, others - (own - own_best)
     # the word that last followed the word before in this text
     local = np.full(n, -1, np.int64)
     local[1:] = np.where(past[:-1] >= 0, past[:-1] + 1, -1)
@@ -422,8 +476,8 @@ def decisions(c: Chunk, counts: np.ndarray, successors: tuple[np.ndarray, np.nda
     def part(tokens: np.ndarray, y: np.ndarray, gate: np.ndarray, slots: list[np.ndarray]) -> Part:
         wide = y.shape[1] if y.ndim > 1 else 1
         doc = np.repeat(c.doc[tokens], wide) if wide > 1 else c.doc[tokens]
-        spread = lambda x: np.broadcast_to(x.astype(np.int32, copy=False), y.shape).ravel()
-        return Part(spread(y), doc, spread(gate), tuple(spread(s) for s in slots), wide * np.searchsorted(block[tokens], blocks))
+        spread = lambda x, kind=np.int32: np.broadcast_to(x.astype(kind, copy=False), y.shape).ravel()
+        return Part(spread(y, np.int8), doc, spread(gate, np.int8), tuple(spread(s) for s in slots), wide * np.searchsorted(block[tokens], blocks))
 
     t = order[offered[order]]
     level, past = _level(most[t]), _last_outcomes(c, outcome)
@@ -437,7 +491,11 @@ def decisions(c: Chunk, counts: np.ndarray, successors: tuple[np.ndarray, np.nda
     k = klass[t][:, None]
     node = (1 << j) | (k >> (depth - j))
     first = node * np.int32(_CLASS) + before[t][:, None]
-    parts.append(part(t, (k >> (depth - 1 - j)) & 1, 6 + j, [node, first, first * np.int32(_CLASS) + two_before[t][:, None]]))
+    parts.append(part(t, (k >> (depth - 1 - j)) & 1, np.minimum(6 + j, _BITS - 1), [node, first, first * np.int32(_CLASS) + two_before[t][:, None]]))
+    t = t[seen[t] == 0]
+    y, sizes, slots = spelled(c, t)
+    ends = np.concatenate([[0], np.cumsum(8 * sizes)])[np.searchsorted(block[t], blocks)]
+    parts.append(Part(y, np.repeat(c.doc[t], 8 * sizes), np.tile(np.arange(_BITS, GATES, dtype=np.int8), int(sizes.sum())), slots, ends))
     return parts, seen, left
 
 
@@ -446,10 +504,9 @@ def stretched(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (seen - ones + 0.4)), -9, 9).astype(np.float32)
 
 
-def read(parts: list[Part], tables: list[np.ndarray], weights: np.ndarray, rate: float, lanes: bool = True) -> np.ndarray:
-    """The natural log probability of each document's decisions; ``weights`` (document or 1, gate, predictor and bias) are refined in place after each block."""
-    docs = 1 + max((int(p.doc.max()) for p in parts if len(p.doc)), default=-1)
-    out, flat = np.zeros(docs), weights.reshape(-1, 4)
+def read(parts: list[Part], tables: list[np.ndarray], docs: int) -> np.ndarray:
+    """The natural log probability of each document's decisions; a document's weights (gate, predictor and bias) are refined after each block."""
+    out, flat = np.zeros(docs), np.tile(first_weights(), (docs, 1))
     steps = max(len(p.ends) for p in parts)
     starts = [np.concatenate([[0], p.ends]) for p in parts]
     for s in range(steps):
@@ -459,41 +516,41 @@ def read(parts: list[Part], tables: list[np.ndarray], weights: np.ndarray, rate:
                 continue
             doc, y = p.doc[a:b], p.y[a:b].astype(np.float32)
             x = [t[k[a:b]] for t, k in zip(tables, p.slots)]
-            g = doc * GATES + p.gate[a:b] if lanes else p.gate[a:b]
+            g = doc * GATES + p.gate[a:b]
             w = flat[g]
             z = x[0] * w[:, 0] + x[1] * w[:, 1] + x[2] * w[:, 2] + w[:, 3]
             error = y - 1 / (1 + np.exp(-np.clip(z, -14, 14)))
             logs = np.log(1 - np.abs(error))
             top = int(doc.max()) + 1
             out[:top] += np.bincount(doc, logs, minlength=top)
-            used = top * GATES if lanes else GATES
-            each = None if lanes else np.maximum(np.bincount(g, minlength=used), 1)
-            step = np.float32(rate) * error
+            used = top * GATES
+            step = np.float32(RATE) * error
             for k in range(4):
-                move = np.bincount(g, step * x[k] if k < 3 else step, minlength=used)
-                flat[:used, k] += move if lanes else move / each
+                flat[:used, k] += np.bincount(g, step * x[k] if k < 3 else step, minlength=used)
     return out
 
 
 @dataclass
 class Model:
     tables: list[np.ndarray]
-    start: np.ndarray  # gate x (predictors and bias)
-    spelling: np.ndarray  # log10 of a byte behind another
     totals: np.ndarray  # training tokens by class
     depth: int
     tokens: int
     distinct: int
 
 
-def _arrays(row: dict) -> tuple[Chunk, np.ndarray, tuple]:
-    """(chunk, counts of its words, its successors), documents as they are."""
+def _arrays(row: dict) -> tuple[Chunk, np.ndarray, Successors]:
+    """(chunk, counts of its words, the answers on its contexts), documents as they are."""
     c = Chunk(row)
     c.find_contexts(row["bits"])
     data = [x["data"] for x in sorted(row["word_data"], key=lambda x: x["bucket"])]
     counts = np.concatenate([opened(x, np.int64) for x in data])
-    cut = [opened(x["data"], np.uint32).astype(np.int64).reshape(3, -1) for x in sorted(row["next_data"], key=lambda x: x["bucket"])]
-    return c, counts, tuple(np.concatenate(cut, axis=1))
+    parts = []
+    for x in sorted(row["next_data"], key=lambda x: x["bucket"]):
+        v, k = opened(x["data"], np.uint32).astype(np.int64), x["contexts"]
+        lists = (len(v) - 2 * k) // 2
+        parts.append(np.split(v, [k, 2 * k, 2 * k + lists]))
+    return c, counts, Successors(*map(np.concatenate, zip(*parts)))
 
 
 def by_length(row: dict) -> tuple[dict, np.ndarray]:
@@ -506,49 +563,57 @@ def by_length(row: dict) -> tuple[dict, np.ndarray]:
     return {**row, **moved, "ids": [row["ids"][k] for k in order.tolist()]}, order
 
 
-def _spelled(c: Chunk, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte pairs, how many each token of ``unknown`` has): a word's bytes and a blank, each behind the one before (256: none)."""
-    used = [c.words[k] + b" " for k in c.tokens[unknown].tolist()]
+def spelled(c: Chunk, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bits, how many bytes each token has, three slots of each bit): words and a blank, from the high bit on; blanks stand before a word, too."""
+    used = [c.words[k] + b" " for k in c.tokens[tokens].tolist()]
     raw = np.frombuffer(b"".join(used), np.uint8).astype(np.int32)
     sizes = np.fromiter(map(len, used), np.int64, len(used))
-    before = np.roll(raw, 1)
-    before[np.cumsum(sizes) - sizes] = 256
-    return before * 256 + raw, sizes
+    at = within(sizes)
+    one, two, three = (np.where(at >= k, np.roll(raw, k), 32) for k in (1, 2, 3))
+    j = np.arange(8, dtype=np.int32)
+    node = (1 << j) | (raw[:, None] >> (8 - j))
+
+    def slot(context: np.ndarray) -> np.ndarray:
+        key = (context.astype(np.uint64)[:, None] << np.uint64(8)) | node.astype(np.uint64)
+        return (_SPELL + ((key * _A) >> np.uint64(64 - SPELLED))).astype(np.int32).ravel()
+
+    slots = ((_SPELL + one[:, None] * 256 + node).astype(np.int32).ravel(), slot(one * 256 + two), slot((one * 256 + two) * 256 + three))
+    return ((raw[:, None] >> (7 - j)) & 1).astype(np.int8).ravel(), sizes, slots
 
 
-def learn(row: dict, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(slots' zeros and ones of the three tables, byte pairs, weights, tokens) of a chunk's training documents; weights are learned on the chunk's own tables."""
+def learn(row: dict, depth: int) -> np.ndarray:
+    """Slots' zeros and ones of the three tables, of a chunk's training documents."""
     c, counts, successors = _arrays(by_length(row)[0])
-    parts, seen, left = decisions(c, counts, successors, depth, c.training)
-    sums = np.stack([np.bincount(np.concatenate([2 * p.slots[k] + p.y for p in parts]), minlength=2 * SLOTS) for k in range(3)])
-    spelled = np.bincount(_spelled(c, np.flatnonzero(left & (seen == 0) & c.training))[0], minlength=_PAIRS)
-    weights = first_weights()
-    read(parts, [stretched(x[1::2], x[::2] + x[1::2]) for x in sums], weights, LEARN, lanes=False)
-    return sums, spelled, weights, int(c.lens[~c.held].sum())
+    parts, _, _ = decisions(c, counts, successors, depth, c.training)
+    return np.stack([sum(np.bincount(2 * p.slots[k] + p.y, minlength=2 * SLOTS) for p in parts) for k in range(3)])
 
 
 def first_weights() -> np.ndarray:
-    w = np.full((GATES, 4), 0.35, np.float32)
+    w = np.full((GATES, 4), START, np.float32)
     w[:, 3] = 0
     return w
 
 
+def class_totals(c: Chunk, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Training tokens by document and class, a training document's own occurrences taken out: its words count in the classes that they have without them."""
+    out = np.repeat(totals[None], len(c.lens), axis=0)
+    pairs, own = np.unique((c.doc[c.training].astype(np.int64) << 32) | c.tokens[c.training], return_counts=True)
+    doc, n = pairs >> 32, counts[pairs & 0xFFFFFFFF]
+    np.subtract.at(out, (doc, classes(n)), n)
+    np.add.at(out, (doc, classes(n - own)), n - own)
+    return out
+
+
 def scores(row: dict, model: Model) -> tuple:
     """(ids, held_out, bytes, tokens, known, base, log10 probability) of a chunk's documents."""
     row, _ = by_length(row)
     c, counts, successors = _arrays(row)
     parts, seen, left = decisions(c, counts, successors, model.depth)
     m = len(c.lens)
-    weights = np.repeat(model.start[None].astype(np.float32), m, axis=0)
-    total = np.zeros(m)
-    logs = read(parts, model.tables, weights, RATE)
-    total[: len(logs)] += logs / math.log(10)
+    total = read(parts, model.tables, m) / math.log(10)
     named = left & (seen > 0)
-    inside = np.maximum(model.totals[classes(seen[named])], seen[named])
+    inside = class_totals(c, counts, model.totals)[c.doc[named], classes(seen[named])]
     total += np.bincount(c.doc[named], np.log10(seen[named] / inside), minlength=m)
-    odd = np.flatnonzero(left & (seen == 0))
-    pairs, sizes = _spelled(c, odd)
-    total += np.bincount(np.repeat(c.doc[odd], sizes), model.spelling[pairs], minlength=m)
     n = counts[c.tokens]
     base = np.bincount(c.doc, np.log10((n + 0.1) / (model.tokens + 0.1 * (model.distinct + 1))), minlength=m)
     return c.ids, c.held, c.n_bytes, c.lens, np.bincount(c.doc[n > 0], minlength=m), base, total
@@ -567,45 +632,30 @@ def prepared(docs: DataFrame, folder: str, *, id_col: str, text_col: str, folds:
     by_word = word_requests(packed, bits).groupBy("bucket").applyInArrow(word_answers, "chunk bigint, bucket int, data binary, class int, words bigint, total bigint")
     answered = stored(by_word.repartition(parts, "chunk", "class"), folder, "words")  # rows without a chunk are spread by class
     sums = {r["class"]: (r.words, r.total) for r in answered.where("chunk IS NULL").groupBy("class").agg(F.sum("words").alias("words"), F.sum("total").alias("total")).collect()}  # 63 rows at most
-    by_next = successor_requests(packed, bits).groupBy("bucket").applyInArrow(successor_answers, "chunk bigint, bucket int, data binary")
-    told = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias(name))  # noqa: E731  a chunk's own answers
-    named, after = told(answered.where("chunk IS NOT NULL"), "word_data"), told(stored(by_next.repartition(parts, "chunk"), folder, "next"), "next_data")
+    by_next = successor_requests(packed, bits).groupBy("bucket").applyInArrow(successor_answers, "chunk bigint, bucket int, contexts bigint, data binary")
+    told = lambda df, name, *more: df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", *more, "data")).alias(name))  # noqa: E731  a chunk's own answers
+    named, after = told(answered.where("chunk IS NOT NULL"), "word_data"), told(stored(by_next.repartition(parts, "chunk"), folder, "next"), "next_data", "contexts")
     return packed.join(named, "chunk").join(after, "chunk").withColumn("bits", F.lit(bits)), sums
 
 
 def train(ready: DataFrame, sums: dict) -> Model:
     depth = max(1, max(sums, default=0).bit_length())
-    size = 3 * 2 * SLOTS + _PAIRS
+    size = 3 * 2 * SLOTS
+    room = size + -size % VECTOR_BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weights, tokens = np.zeros(size + 4096 - size % 4096, np.int64), np.zeros(GATES * 4), 0
+        total = np.zeros(room, np.int64)
         for b in batches:
             for row in rows_of(b):
-                slots, pairs, w, n = learn(row, depth)
-                total[: slots.size] += slots.ravel()
-                total[slots.size : size] += pairs
-                weights += n * w.ravel()
-                tokens += n
+                total[:size] += learn(row, depth).ravel()
         blocks, data = vector_blocks(total)
-        out = [*zip(blocks.tolist(), data), (-1, np.array([tokens, *weights]).tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "data"])
-
-    gathered = ready.mapInArrow(run, "block int, data binary")
-    gathered.persist()
-    both = sum_vectors(gathered.where("block >= 0"), size + 4096 - size % 4096)
-    start, tokens = np.zeros(GATES * 4), 0.0
-    for r in gathered.where("block < 0").toLocalIterator():  # 65 numbers a task
-        v = np.frombuffer(bytes(r.data), np.float64)
-        tokens += v[0]
-        start += v[1:]
-    gathered.unpersist()
-    slots, pairs = both[: 6 * SLOTS].reshape(3, SLOTS, 2), both[6 * SLOTS : size].reshape(257, 256)
-    spelling = np.log10((pairs + 0.05) / (pairs.sum(axis=1, keepdims=True) + 0.05 * 256)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    slots = sum_vectors(ready.mapInArrow(run, "block int, data binary"), room)[:size].reshape(3, SLOTS, 2)
     totals = np.zeros(_CLASS, np.int64)
     for k, (_, n) in sums.items():
         totals[k] = n
-    weights = (start / tokens).reshape(GATES, 4).astype(np.float32) if tokens else first_weights()
-    return Model([stretched(x[:, 1], x.sum(axis=1)) for x in slots], weights, spelling, totals, depth, int(totals.sum()), sum(w for w, _ in sums.values()))
+    return Model([stretched(x[:, 1], x.sum(axis=1)) for x in slots], totals, depth, int(totals.sum()), sum(w for w, _ in sums.values()))
 
 
 def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
