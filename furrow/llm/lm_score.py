@@ -320,6 +320,7 @@ def within(sizes: np.ndarray) -> np.ndarray:
 def successor_answers(table: pa.Table) -> pa.Table:
     """Of each asked context its successors' count, and as many as were asked for of the most frequent (ties: the larger bits) with theirs; a row for each chunk.
 
+    A list ends with the first successor that the asking chunk doesn't have itself: none of its documents can lower that one's count.
     A context that has no training occurrence outside the asking chunk gets none: the chunk knows all of it.
     """
     part = lambda name: [opened(x, np.uint32) for x in table.column(name).to_pylist()]
@@ -339,11 +340,16 @@ def successor_answers(table: pa.Table) -> pa.Table:
     order = np.lexsort((-after, -sums, owner))  # from the most frequent on
     after, sums, first = after[order], sums[order], np.cumsum(known) - known
     data, a = [], 0
-    for k, asks, size, own in zip(keys, want, sizes, n):
+    for k, asks, size, own, theirs in zip(keys, want, sizes, n, part("next")):
         mine = place[a : a + len(k)]
-        elsewhere = total[mine] > np.bincount(np.repeat(np.arange(len(k)), size), own, minlength=len(k))
+        holder = np.repeat(np.arange(len(k)), size)
+        elsewhere = total[mine] > np.bincount(holder, own, minlength=len(k))
         given = np.where(elsewhere, np.minimum(known[mine], asks), 0)
-        at = np.repeat(first[mine], given) + within(given)
+        context, at = np.repeat(np.arange(len(k)), given), np.repeat(first[mine], given) + within(given)
+        foreign = np.cumsum(_own((holder << 24) | theirs, (context << 24) | after[at]) == 0)
+        before = np.concatenate([[0], foreign])[np.cumsum(given) - given]  # foreign successors of earlier contexts
+        keep = np.concatenate([[0], foreign])[:-1] == np.repeat(before, given)
+        given, at = np.bincount(context[keep], minlength=len(k)), at[keep]
         data.append(squeezed(np.concatenate([x.astype(np.uint32) for x in (given, total[mine] * elsewhere, after[at], sums[at])])))
         a += len(k)
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "contexts": pa.array([len(k) for k in keys], pa.int64()), "data": pa.array(data, pa.binary())})
