@@ -23,19 +23,35 @@ def choose(requests: DataFrame, catalogue: DataFrame, *, future: Sequence[str] =
     ``future`` scenario and has the crop as a token between dots. Of these the earliest mapset counts; in it files of the period go before all
     others (which serve where it has none), then the first water token that a file has, then the listing's order. The
     suffix names the period asked for and the water token, where they have a name.
+
+    A code is compared once with each distinct crop, period and water token asked for. The first file of each mapset and
+    combination of these (or any) is then looked up by equality, so that work grows with requests and files, not with their pairs.
     """
-    asked = requests.select("id", "crop", "period", "waters", F.posexplode("sets").alias("set_rank", "mapset"))
-    code = F.col("code")
+    code, nothing = F.col("code"), F.lit(None).cast("string")
     past = ~F.greatest(F.lit(False), F.lit(False), *[F.upper(code).contains(s) for s in future])
-    token = lambda t: code.contains(F.concat(F.lit("."), t, F.lit("."))) | code.endswith(F.concat(F.lit("."), t))
-    fits = F.col("crop").isNull() | token(F.col("crop"))
-    files = catalogue.where(past).select("mapset", "code", "place")
-    found = asked.join(files, "mapset").where(fits)
-    other = F.when(F.col("period").isNull() | code.contains(F.col("period")), 0).otherwise(1)
-    waters = F.transform("waters", lambda t, k: F.when(code.contains(F.concat(F.lit("."), t)), k))
-    rank = F.array_min(F.filter(waters, lambda k: k.isNotNull()))
-    scored = found.withColumns({"other": other, "water_rank": rank, "last": F.coalesce(rank, F.size("waters"))})
-    best = scored.groupBy("id").agg(F.min_by(F.struct("code", "mapset", F.try_element_at("waters", F.col("water_rank") + 1).alias("water")), F.struct("set_rank", "other", "last", "place")).alias("b"))
+    dot = lambda t: F.concat(F.lit("."), t)
+    waters = F.filter(F.coalesce("waters", F.array().cast("array<string>")), F.isnotnull)
+    asked = ["crop", "period", "water"]
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    pairs = F.concat(F.array(pair("crop", F.col("crop")), pair("period", F.col("period"))), F.transform(waters, lambda w: pair("water", w)))
+    wanted = requests.select(F.explode(pairs).alias("x")).select("x.*").dropna().distinct()
+    kind, value = F.col("kind"), F.col("value")
+    holds = F.when(kind == "crop", code.contains(F.concat(dot(value), F.lit("."))) | code.endswith(dot(value))).when(kind == "period", code.contains(value)).otherwise(code.contains(dot(value)))
+    files = catalogue.where(past & code.isNotNull()).groupBy("mapset", "code").agg(F.min("place").alias("place"))
+    held = files.select("code").distinct().join(wanted, holds).groupBy("code").agg(*[F.collect_set(F.when(kind == x, value)).alias(x) for x in asked])
+    files = files.join(held, "code", "left")
+    for x in asked:
+        files = files.withColumn(x, F.explode(F.array_append(F.coalesce(x, F.array().cast("array<string>")), nothing)))  # null: any
+    first = files.groupBy("mapset", *asked).agg(F.min(F.struct("place", "code")).alias("f"))
+    period = F.col("period")
+    tries = (
+        requests.select("id", "crop", F.posexplode("sets").alias("set_rank", "mapset"), "period", waters.alias("waters"))
+        .withColumn("p", F.explode(F.array(F.struct(F.lit(0).alias("other"), "period"), F.struct(F.when(period.isNull(), 0).otherwise(1).alias("other"), nothing.alias("period")))))
+        .select("id", "crop", "set_rank", "mapset", "p.*", F.posexplode(F.array_append("waters", nothing)).alias("last", "water"))
+    )
+    alike = [tries["mapset"] == first["mapset"], *(tries[x].eqNullSafe(first[x]) for x in asked)]
+    chosen = F.struct("set_rank", "other", "last", "f.place", "f.code", tries["mapset"], tries["water"])
+    best = tries.join(first, alike).groupBy("id").agg(F.min(chosen).alias("b"))
     out = requests.join(best, "id", "left").select(*[requests[x] for x in requests.columns], F.col("b.code").alias("code"), F.col("b.mapset").alias("mapset"), F.col("b.water").alias("water"))
     parts = [_look(period_names or {}, F.col("period")), _look(water_names or {}, F.col("water"))]
     suffix = F.concat(*[F.coalesce(F.concat(F.lit("_"), x), F.lit("")) for x in parts])

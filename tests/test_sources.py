@@ -115,6 +115,35 @@ def test_catalogue_prefers_in_order(spark):
     assert got == {"both": ("H.2020.mze.irx", "ir", "_new_irrigated"), "relaxed": ("H.1980.mze.ir", None, ""), "period": ("H.2020.mze.rf", "rf", ""), "second": ("H.1980.bar.rf", None, "_new"), "none": (None, None, None), "any": ("H.2020.mze.rf", None, ""), "twice": ("H.2020.whe.ir", None, "")}
 
 
+def _most_rows(node):
+    own = node.metrics().get("numOutputRows")
+    below = [_most_rows(node.children().apply(k)) for k in range(node.children().size())]
+    return max([own.get().value() if own.isDefined() else 0, *below])
+
+
+def test_catalogue_makes_no_pairs_of_requests_and_files(spark):
+    """300 requests that differ and 400 codes that differ, in one mapset: every request gets the first of its period, and no step makes rows of all pairs."""
+    files = spark.createDataFrame([("m", f"H.{2000 + k % 40}.mze.rf.{k}", 1000 - k) for k in range(400)], "mapset string, code string, place long")
+    asks = spark.createDataFrame([(k, ["none", "m"], None if k % 2 else "mze", str(2000 + k % 50), [None, "ir", "rf"][k % 3 :]) for k in range(300)], "id long, sets array<string>, crop string, period string, waters array<string>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = catalogue.choose(asks, files)
+        rows = {r.id: (r.code, r.water) for r in got.collect()}
+        most = _most_rows(got._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    last = lambda k: 360 + k % 50 if k % 50 < 40 else 399  # noqa: E731  the first in the listing
+    assert rows == {k: (f"H.{2000 + last(k) % 40}.mze.rf.{last(k)}", "rf") for k in range(300)}
+    assert most < 10 * (300 + 400)
+
+
+def test_catalogue_nulls_and_ties(spark):
+    files = spark.createDataFrame([("m", None, 0), ("m", "H.2020.mze.ir", 4), ("m", "H.2020.mze.ir", 2), ("m", "H.1990.whe.rf", 3), (None, "H.2020.mze.rf", 1)], "mapset string, code string, place int")
+    asks = [("any", ["m"], None, None, None), ("unset", None, None, None, ["rf"]), ("null set", [None], None, None, ["rf"]), ("null water", ["m", "m"], None, None, [None, "rf"]), ("empty", ["m"], "whe", "", [])]
+    got = {r.id: (r.code, r.mapset, r.water, r.suffix) for r in catalogue.choose(spark.createDataFrame(asks, "id string, sets array<string>, crop string, period string, waters array<string>"), files).collect()}
+    assert got == {"any": ("H.2020.mze.ir", "m", None, ""), "unset": (None,) * 4, "null set": (None,) * 4, "null water": ("H.1990.whe.rf", "m", "rf", ""), "empty": ("H.1990.whe.rf", "m", None, "")}
+
+
 def test_array_quantiles(spark):
     arrays = [[3.0, 1.0, 2.0], [None, 5.0], [], None, [None], [float("nan"), 1.0, 9.0], [7.0] * 4]
     df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<double>")
