@@ -286,6 +286,29 @@ def test_lm_scores_are_those_of_unseen_texts(spark):
     assert spark.sql("SHOW TABLES LIKE 'scores_*'").count() == 0
 
 
+def test_lm_reads_a_blocks_decisions_together(spark, tmp_path, monkeypatch):
+    """Documents are packed once in the order in which they are read, and a block costs one update of the weights, whatever kinds of decisions it has."""
+    texts = [f"one two three one two x{k} " + "one two five four two one " * (k % 7) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    ready, sums = lm_score.prepared(docs, str(tmp_path / "lm"), id_col="doc_id", text_col="text", bucket=100)
+    model, row = lm_score.train(ready, sums), ready.first().asDict(recursive=True)
+    n_bytes, lens = np.frombuffer(row["n_bytes"], np.int64), np.frombuffer(row["lens"], np.int64)
+    assert n_bytes.tolist() == sorted(n_bytes, reverse=True) and n_bytes.tolist() == [len(texts[k]) for k in row["ids"]]
+    c, counts, successors = lm_score._arrays(row)
+    parts, *_ = lm_score.decisions(c, counts, successors, model.depth)
+    assert all(len(p.y) for p in parts)
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    assert (lm_score.read(parts, model.tables, len(lens)) < 0).all()
+    assert len(calls) == 5 * math.ceil(lens.max() / lm_score.BLOCK)
+
+
+def test_lm_arrays_come_back(spark):
+    for x in (np.array([], np.int64), np.array([0, 1, -1, 2**62, -(2**63)]), np.array([0, 255, 256, 2**32 - 1], np.uint32), np.array([7, 0, 2**24], np.int32), np.array([2**64 - 1, 0], np.uint64), np.frombuffer(b"ab c", np.uint8)):
+        back = lm_score.opened(lm_score.squeezed(x), x.dtype)
+        assert back.dtype == x.dtype and back.tolist() == x.tolist()
+
+
 def test_lm_class_shares_add_up():
     class Two:  # two documents: a held-out one and a training one with three of eight "a", all of "b"
         lens, doc, tokens = np.array([1, 4]), np.array([0, 1, 1, 1, 1]), np.array([0, 0, 0, 0, 1])
